@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import exact_dedup, simhash
+from tidemark.llm import exact_dedup, simhash, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE = {**exact_dedup.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **substring_dedup.ORACLE}
