@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import exact_dedup, fingerprints, simhash, substring_dedup
+from tidemark.llm import exact_dedup, fingerprints, language_id, simhash, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLE = {**exact_dedup.ORACLE, **substring_dedup.ORACLE}
