@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import exact_dedup, fingerprints, language_id, simhash, substring_dedup
+from tidemark.llm import exact_dedup, fingerprints, language_id, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
