@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import exact_dedup, fingerprints, language_id, simhash, substring_dedup, toxicity
+from tidemark.llm import exact_dedup, fingerprints, html_extract, language_id, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_html_extraction": html_extract.op3_html_extraction,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
