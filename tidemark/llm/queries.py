@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import exact_dedup, fingerprints, html_extract, language_id, simhash, substring_dedup, toxicity
+from tidemark.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": language_id.op9_language_id,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {**exact_dedup.ORACLE, **substring_dedup.ORACLE}
