@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, sentencepiece_codec, simhash, substring_dedup, toxicity
+from tidemark.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_html_extraction": html_extract.op3_html_extraction,
+    "op4_token_files": token_files.op4_token_files,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
