@@ -33,7 +33,7 @@ HOT = 1000
 #: Words in one FM-index.
 INDEX_WORDS = 200_000
 #: Words whose hashes a task remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
@@ -237,8 +237,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     unique = plain.groupBy("doc_id").count().where("count > 1").isEmpty()
     keyed = plain.withColumn("row", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select("row", "doc_id", "text"), scratch, window, gram)
-    # The spans of rows that are the same in id and text are the same.
-    joined = keyed.select("row", "given", "text").join(spans.select("row", F.array_distinct("spans").alias("spans")), "row", "left").select("given", "text", "spans")
+    joined = keyed.select("row", "given", "text").join(spans, "row", "left").select("given", "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, kept = [], [], []
