@@ -131,8 +131,29 @@ def links(fps: np.ndarray, group: np.ndarray, max_bits: int, segments: int) -> t
     return fps[moved], fps[low[moved]]
 
 
-def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that span every component of the distinct fingerprints `distinct` (fp long)."""
+def partners(fps: np.ndarray, group: np.ndarray, max_bits: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints of the same group: of each fingerprint that with the first in the group and that with the nearest."""
+    n = len(fps)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])) if n else starts
+    rows, first, near, best = np.arange(n), np.full(n, -1), np.full(n, -1), np.full(n, 65)
+    step = 1
+    while len(rows := rows[rows + step < ends[rows]]):
+        differing = fps[rows] ^ fps[rows + step]
+        fits = np.flatnonzero(pigeonring(differing, max_bits, segments))
+        bits = np.bitwise_count(differing[fits])
+        a, bits = rows[fits[bits <= max_bits]], bits[bits <= max_bits]
+        first[a + step] = a
+        for mine, other in ((a, a + step), (a + step, a)):
+            nearer = bits < best[mine]
+            best[mine[nearer]], near[mine[nearer]] = bits[nearer], other[nearer]
+        step += 1
+    a, b = np.r_[rows[:0], np.flatnonzero(first >= 0), np.flatnonzero(near >= 0)], np.r_[first[first >= 0], near[near >= 0]]
+    return fps[a], fps[b]
+
+
+def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK, found=links) -> DataFrame:
+    """Edges (a, b) among the distinct fingerprints `distinct` (fp long): with `links`, such as span every component."""
     keyed = distinct.select("fp", F.explode(keys(F.col("fp"), max_bits, segments)).alias("key"))
     shared = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     rows = keyed.join(shared, "key")
@@ -147,7 +168,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX
 
         def flush(part: pa.Table):
             fps = part.column("fp").to_numpy().view(np.uint64)
-            a, b = links(fps, part.column("grp").to_numpy(), max_bits, segments)
+            a, b = found(fps, part.column("grp").to_numpy(), max_bits, segments)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -166,7 +187,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX
         if held:
             yield flush(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    return dealt.repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(run, "a long, b long")
 
 
 def near_components(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
@@ -193,6 +214,53 @@ def simhash_near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BI
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)}
+
+
+def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of `pairs` (a, b, a_text, b_text) whose word shingles have the Jaccard similarity or more."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            p, q = shingles(x, shingle), shingles(y, shingle)
+            keep.append(len(p & q) >= similarity * len(p | q))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return map_batches(pairs.select("a", "b", "a_text", "b_text"), run, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int, max_bits: int, segments: int, similarity: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one document of each group of near copies, that with the smallest id; all columns are kept.
+
+    Candidates are documents of one fingerprint or with linked fingerprints; a link counts if the Jaccard similarity of the word
+    shingles (A-Z lower-cased) is `similarity` or more. Each document is compared with the first and with the
+    nearest of every bucket it shares, so a group needs no more links than it has documents in each bucket. Texts
+    without a word are near copies of each other, null ones too; null ids come after all others.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text)))
+    plain = keyed.select(F.col("__row").alias("doc_id"), F.col(text).alias("text"))
+    fps = scratch.write(fingerprints(plain, shingle), "fingerprints")
+    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("row"), F.count("*").alias("n")), "distinct")
+    linked = fingerprint_links(distinct.select("fp"), scratch, max_bits, segments, found=partners)
+    linked = scratch.write(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "linked")
+    one = linked.join(distinct.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a")
+    across = one.join(distinct.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = fps.join(distinct.where("n > 1").select("fp", "row"), "fp").where("doc_id <> row").select(F.col("row").alias("a"), F.col("doc_id").alias("b"))
+    pairs = scratch.write(across.union(within).distinct(), "pairs")
+    texts = scratch.write(plain.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    label = components(scratch.write(similar(both, shingle, similarity), "similar"), scratch)
+    named = scratch.write(keyed.select("__row", F.col(id_col).alias("id")).join(label.select(F.col("node").alias("__row"), "component"), "__row"), "named")
+    stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("s")).select(F.col("s.__row").alias("stays"), "component")
+    gone = scratch.write(named.join(stays, "component").where("__row <> stays").select("__row").distinct(), "gone")
+    return keyed.join(gone, "__row", "left_anti").drop("__row")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
