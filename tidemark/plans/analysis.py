@@ -318,11 +318,11 @@ def stop_candidates_explode(s, d):
     return b.select("symbol", "start_ms", F.inline(X.stop_candidates(F.col("atr"), F.col("recent"), F.col("pivot"), F.col("close"), F.lit("LONG")))).select("symbol", "start_ms", "candidate", r("distance", digits=5))
 
 
-@query(f"{WITH}, g AS (SELECT * FROM (VALUES (1.0), (1.5), (2.0)) a(stop_atr), (VALUES (1.0), (2.0), (3.0)) b(target_r)), x AS (SELECT symbol, start_ms, close, avg(high - low) OVER ({W} ROWS 13 PRECEDING) AS atr FROM bars) SELECT symbol, start_ms, CAST(stop_atr AS DOUBLE) AS stop_atr, CAST(target_r AS DOUBLE) AS target_r, round(close - stop_atr * atr, 3) AS stop, round(close + target_r * (stop_atr * atr + 0.3), 3) AS target FROM x, g")
+@query(f"{WITH}, g AS (SELECT * FROM (VALUES (1.0), (1.5), (2.0)) a(stop_atr), (VALUES (1.0), (2.0), (3.0)) b(target_r)), x AS (SELECT symbol, start_ms, close, round(avg(high - low) OVER ({W} ROWS 13 PRECEDING), 4) AS atr FROM bars) SELECT symbol, start_ms, CAST(stop_atr AS DOUBLE) AS stop_atr, CAST(target_r AS DOUBLE) AS target_r, round(close - stop_atr * atr, 7) AS stop, round(close + target_r * (stop_atr * atr + 0.3), 7) AS target FROM x, g")
 def tp_candidate_grid(s, d):
     grid = F.array(*(F.struct(F.lit(a).alias("stop_atr"), F.lit(b).alias("target_r")) for a in (1.0, 1.5, 2.0) for b in (1.0, 2.0, 3.0)))
-    b = bars(s, d).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(I.last_rows(14))).select("symbol", "start_ms", "close", "atr", F.inline(grid))
-    return b.select("symbol", "start_ms", "stop_atr", "target_r", r(F.col("close") - F.col("stop_atr") * F.col("atr"), "stop", 3), r(F.col("close") + F.col("target_r") * (F.col("stop_atr") * F.col("atr") + 0.3), "target", 3))
+    b = bars(s, d).withColumn("atr", F.round(F.avg(F.col("high") - F.col("low")).over(I.last_rows(14)), 4)).select("symbol", "start_ms", "close", "atr", F.inline(grid))
+    return b.select("symbol", "start_ms", "stop_atr", "target_r", r(F.col("close") - F.col("stop_atr") * F.col("atr"), "stop", 7), r(F.col("close") + F.col("target_r") * (F.col("stop_atr") * F.col("atr") + 0.3), "target", 7))
 
 
 @query(f"{WITH}, x AS (SELECT symbol, round(avg(high - low) OVER ({W} ROWS 13 PRECEDING), 6) AS risk FROM bars), a AS (SELECT unnest([200, 300, 500, 750, 1000]) AS equity) SELECT symbol, CAST(equity AS INT) AS equity, count(*) FILTER (WHERE risk / 0.02 <= equity) AS executable, round(quantile_cont(risk / 0.02, 0.5), 4) AS median_min_equity FROM x, a GROUP BY 1, 2")
