@@ -24,7 +24,9 @@ BROADCAST_IDS = 500_000
 
 def canonical(text: Column) -> Column:
     nfc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.trim(F.regexp_replace(F.lower(F.upper(nfc)), r"(?U)\s+", " "))
+    # Folding by way of upper case; Spark leaves the sharp s, and a final sigma differs from others.
+    folded = F.replace(F.replace(F.lower(F.upper(nfc)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def wide_xxhash(canon: Column) -> Column:

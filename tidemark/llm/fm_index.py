@@ -89,6 +89,8 @@ class FMIndex:
         for back in range(1, threshold):
             if not len(live):
                 break
+            at = ends[live] - back
+            live = live[(at >= 0) & (self.text[at] > 0)]  # patterns end where their sequence begins
             symbol = self.text[ends[live] - back]
             both = self.bwt.rank(np.r_[symbol, symbol], np.r_[low[live], high[live]]) + np.tile(self.smaller[symbol], 2)
             low[live], high[live] = both[: len(live)], both[len(live) :]

@@ -194,8 +194,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(row, start, n): runs of windows of `docs` (row, doc_id, text) whose words also start earlier."""
+def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, unique: bool = True) -> DataFrame:
+    """(row, spans of (start, n)): runs of windows of `docs` (row, doc_id, text) whose words also start earlier.
+
+    `unique` says that no row stands twice.
+    """
     spark = docs.sparkSession
     found = segments(docs, window, gram)
     group = (
@@ -212,7 +215,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
     again = scratch.write(again, "again")
     release(spark)
     spans = known.where("distinct_segs > 1").select("row", "start", "n", "h", (F.col("distinct_segs") > hot).alias("hot"))
-    texts = scratch.write(spans_text(docs, spans, window), "texts")
+    texts = scratch.write(spans_text(docs if unique else docs.dropDuplicates(["row"]), spans, window), "texts")
     release(spark)
     matched = scratch.write(searched(texts.where("NOT hot").drop("hot"), window), "matched")
     windows = texts.where("hot").select("h", "doc_id", "row", "start")
@@ -236,7 +239,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     plain = docs.select(F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).alias("text"))
     unique = plain.groupBy("doc_id").count().where("count > 1").isEmpty()
     keyed = plain.withColumn("row", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed.select("row", "doc_id", "text"), scratch, window, gram)
+    spans = repeated_spans(keyed.select("row", "doc_id", "text"), scratch, window, gram, unique=unique)
     joined = keyed.select("row", "given", "text").join(spans, "row", "left").select("given", "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -6,7 +6,8 @@ by itself from a fresh model and followed by a checksum, so a damaged or missing
 output (a range of doc_ids) is a run of frames; the frames are the rows of a Parquet table.
 
 Frame, little-endian: magic, u32 documents, u32 ids, u32 blocks; per document i64 doc_id (with u8 1 if null) and u32
-ids; per block u32 ids, u32 bytes, u32 CRC-32 of its ids as u32; then the blocks' bytes.
+ids; per block u32 ids, u32 bytes, u32 CRC-32 of its ids as u32, u32 CRC-32 of its bytes; u32 CRC-32 of all before; then the
+blocks' bytes.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes
     coded = range_coder.encode(blocks) if blocks else []
     head = MAGIC + struct.pack("<3I", len(counts), len(ids), len(blocks))
     head += np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + np.array(counts, "<u4").tobytes()
-    table = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded)], "<u4").reshape(-1, 3)
-    return head + table.tobytes() + b"".join(coded)
+    table = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes()), zlib.crc32(c)) for b, c in zip(blocks, coded)], "<u4").reshape(-1, 4)
+    head += table.tobytes()
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(coded)
 
 
 def unpack(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -54,18 +56,25 @@ def unpack(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         raise DamagedFrame("no frame starts here")
     docs, total, n = struct.unpack_from("<3I", frame, 4)
     at = 16
-    if len(frame) < at + docs * 13 + n * 12:
+    if len(frame) < at + docs * 13 + n * 16 + 4:
         raise DamagedFrame("the frame is cut off")
     doc_ids = np.frombuffer(frame, "<i8", docs, at).tolist()
     nulls = frame[at + 8 * docs : at + 9 * docs]
     counts = np.frombuffer(frame, "<u4", docs, at + 9 * docs).astype(np.int64)
     at += 13 * docs
-    table = np.frombuffer(frame, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
-    at += 12 * n
+    table = np.frombuffer(frame, "<u4", 4 * n, at).reshape(n, 4).astype(np.int64)
+    at += 16 * n
+    if struct.unpack_from("<I", frame, at)[0] != zlib.crc32(frame[:at]):
+        raise DamagedFrame("the frame's head does not match its checksum")
+    at += 4
     ends = at + np.cumsum(table[:, 1])
     if n and ends[-1] != len(frame) or table[:, 0].sum() != total or counts.sum() != total:
         raise DamagedFrame("the frame's lengths do not add up")
-    blocks = range_coder.decode([frame[e - s : e] for e, s in zip(ends, table[:, 1])], table[:, 0].tolist()) if n else []
+    coded = [frame[e - s : e] for e, s in zip(ends, table[:, 1])]
+    for k, c in enumerate(coded):
+        if zlib.crc32(c) != table[k, 3]:
+            raise DamagedFrame(f"the bytes of block {k} do not match their checksum")
+    blocks = range_coder.decode(coded, table[:, 0].tolist()) if n else []
     for k, block in enumerate(blocks):
         if zlib.crc32(block.astype("<u4").tobytes()) != table[k, 2]:
             raise DamagedFrame(f"block {k} does not match its checksum")
