@@ -52,10 +52,11 @@ def running_excursions(s, d):
     return R.excursions(ticks(s, d).withColumn("entry", first), "user_id", "entry").select("user_id", "event_id", r("mfe"), r("mae"))
 
 
-@query("SELECT l_orderkey, round(sum(l_extendedprice * l_quantity) FILTER (WHERE l_linenumber % 2 = 1) / sum(l_quantity) FILTER (WHERE l_linenumber % 2 = 1), 1) AS entry, round(sum(l_extendedprice * l_quantity) FILTER (WHERE l_linenumber % 2 = 0) / sum(l_quantity) FILTER (WHERE l_linenumber % 2 = 0), 1) AS exit, coalesce(sum(l_quantity) FILTER (WHERE l_linenumber % 2 = 1), 0) = coalesce(sum(l_quantity) FILTER (WHERE l_linenumber % 2 = 0), 0) AS matched FROM lineitem GROUP BY 1")
+@query("WITH l AS (SELECT l_orderkey, l_linenumber % 2 AS way, round(l_extendedprice * 100) AS cents, l_quantity AS q FROM lineitem) SELECT l_orderkey, sum(cents * q) FILTER (WHERE way = 1) / sum(q) FILTER (WHERE way = 1) AS entry, sum(cents * q) FILTER (WHERE way = 0) / sum(q) FILTER (WHERE way = 0) AS exit, coalesce(sum(q) FILTER (WHERE way = 1), 0) = coalesce(sum(q) FILTER (WHERE way = 0), 0) AS matched FROM l GROUP BY 1")
 def deal_netting_vwap(s, d):
-    deals = table(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 1, "IN").otherwise("OUT").alias("side"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("volume"))
-    return R.netted(deals, "l_orderkey").select("l_orderkey", r("entry", digits=1), r("exit", digits=1), "matched")
+    """Prices in cents, so that the sums are whole numbers."""
+    deals = table(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 1, "IN").otherwise("OUT").alias("side"), F.round(F.col("l_extendedprice") * 100).alias("price"), F.col("l_quantity").alias("volume"))
+    return R.netted(deals, "l_orderkey").select("l_orderkey", "entry", "exit", "matched")
 
 
 @query("WITH p AS (SELECT o_orderstatus, epoch_us(o_orderdate) // 1000 AS day_ms, round(-coalesce(sum(o_totalprice - 200000) FILTER (WHERE o_totalprice < 200000), 0), 4) AS loss FROM orders GROUP BY 1, 2) SELECT o_orderstatus, day_ms, loss, max(loss) OVER (PARTITION BY o_orderstatus ORDER BY day_ms) AS worst, round(greatest(0, 500000 - loss), 4) AS left_over FROM p")
