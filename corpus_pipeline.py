@@ -14,8 +14,8 @@ from tidemark.llm.common import Scratch, documents
 
 #: Near copies: words in a shingle, and the least share of common shingles (Jaccard) that a dropped document has with the one that stays.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Differing fingerprint bits up to which two documents are compared, and the segments that fingerprints are cut into.
-MAX_BITS, SEGMENTS = 8, 11
+#: Differing bits up to which two documents are compared, the segments that fingerprints are cut into, and the hash seeds of the fingerprints.
+MAX_BITS, SEGMENTS, SEEDS = 5, 8, (42, 43, 44, 45, 46)
 #: Share of the tokens that mixing keeps.
 BUDGET = 0.8
 
@@ -32,7 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs, SHINGLE, MAX_BITS, SEGMENTS, SIMILARITY)
+    return simhash.drop_near_copies(docs, SHINGLE, MAX_BITS, SEGMENTS, SIMILARITY, SEEDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,12 @@ class Scratch:
             pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of stages whose result has been written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in batches of BATCH_ROWS rows, unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

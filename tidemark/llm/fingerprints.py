@@ -98,7 +98,8 @@ def document_fingerprints(docs: DataFrame, digest: Callable[[Column], Column] =
         F.when((F.col("next_fp") == F.col("fp")) & (canonical(F.col("text")) == canonical(F.col("next_text"))), 1.0).otherwise(0.0).alias("near_next"),
     )
     found = scratch.write(out, "found")
-    many = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Written first: of two plain tables Spark can split a fingerprint that many documents have.
+    many = scratch.write(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "many")
     clash = scratch.write(differing(plain, found.select("doc_id", "fp").join(many, "fp"), digest(F.col("canon")), scratch), "clash")
     if clash.isEmpty():
         mark = found.withColumns({"fingerprint": F.col("fp"), "edited_fingerprint": F.col("edited_fp")})

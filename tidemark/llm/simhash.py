@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, documents, map_batches
+from tidemark.llm.common import Scratch, documents, map_batches, release
 from tidemark.llm.components import components
 
 SEED = 42
@@ -32,15 +32,17 @@ SEGMENTS = 7
 BLOCK = 512
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Majority fingerprint over `shingle`-word shingles, A-Z lower-cased; fewer words are one shingle, none give 0."""
+def shingle_texts(text: str | None, n: int) -> list[bytes]:
+    """Word shingles, A-Z lower-cased, words joined by one space; fewer than n words are one shingle, none give none."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(words) - shingle + 1)
+    if len(words) <= n:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[k:] for k in range(n)))))
+
+
+def majority(parts: list[bytes], seed: int = SEED) -> int:
+    """The bits set in over half of the parts' XXH64; 0 without parts."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -48,14 +50,26 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null text counts as empty; a row each, repeated ids too."""
+def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
+    return majority(shingle_texts(text, shingle), seed)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; fp, fp1, ... for several seeds.
+
+    Null text counts as empty; a row each, repeated ids too.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        out = np.zeros((len(seeds), batch.num_rows), np.uint64)
+        for n, t in enumerate(batch.column(1).to_pylist()):
+            parts = shingle_texts(t, shingle)
+            for k, seed in enumerate(seeds):
+                out[k, n] = majority(parts, seed)
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long" + "".join(f", {n} long" for n in names))
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -232,25 +246,34 @@ def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "a_text", "b_text"), run, "a long, b long")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int, max_bits: int, segments: int, similarity: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def candidate_pairs(fps: DataFrame, scratch: Scratch, max_bits: int, segments: int) -> DataFrame:
+    """Pairs (a, b) of documents of one fingerprint or of linked ones, out of `fps` (doc_id, fp): no more than a few for each document and bucket."""
+    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("row"), F.count("*").alias("n")), "distinct")
+    linked = fingerprint_links(distinct.select("fp"), scratch, max_bits, segments, found=partners)
+    linked = scratch.write(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "linked")
+    one = linked.join(distinct.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a")
+    across = one.join(distinct.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = fps.join(distinct.where("n > 1").select("fp", "row"), "fp").where("doc_id <> row").select(F.col("row").alias("a"), F.col("doc_id").alias("b"))
+    return scratch.write(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int, max_bits: int, segments: int, similarity: float, seeds: tuple[int, ...] = (SEED,), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one document of each group of near copies, that with the smallest id; all columns are kept.
 
-    Candidates are documents of one fingerprint or with linked fingerprints; a link counts if the Jaccard similarity of the word
-    shingles (A-Z lower-cased) is `similarity` or more. Each document is compared with the first and with the
+    Candidates are documents whose fingerprints of any seed are equal or linked; a link counts if the Jaccard similarity of
+    the word shingles (A-Z lower-cased) is `similarity` or more. Each document is compared with the first and with the
     nearest of every bucket it shares, so a group needs no more links than it has documents in each bucket. Texts
     without a word are near copies of each other, null ones too; null ids come after all others.
     """
-    scratch = Scratch(docs.sparkSession, "near-copies")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-copies")
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text)))
     plain = keyed.select(F.col("__row").alias("doc_id"), F.col(text).alias("text"))
-    fps = scratch.write(fingerprints(plain, shingle), "fingerprints")
-    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("row"), F.count("*").alias("n")), "distinct")
-    linked = fingerprint_links(distinct.select("fp"), scratch, max_bits, segments, found=partners)
-    linked = scratch.write(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "linked")
-    one = linked.join(distinct.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a")
-    across = one.join(distinct.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    within = fps.join(distinct.where("n > 1").select("fp", "row"), "fp").where("doc_id <> row").select(F.col("row").alias("a"), F.col("doc_id").alias("b"))
-    pairs = scratch.write(across.union(within).distinct(), "pairs")
+    fps = scratch.write(fingerprints(plain, shingle, seeds=seeds), "fingerprints")
+    found = []
+    for n in fps.columns[1:]:
+        found.append(candidate_pairs(fps.select("doc_id", F.col(n).alias("fp")), Scratch(spark, f"near-copies-{n}"), max_bits, segments))
+        release(spark)
+    pairs = scratch.write(reduce(DataFrame.union, found).distinct(), "pairs")
     texts = scratch.write(plain.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")

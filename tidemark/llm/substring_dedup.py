@@ -14,16 +14,13 @@ anew by whole window, where equal windows are joined by aggregation: nothing is
 
 from __future__ import annotations
 
-import gc
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, documents, map_batches, words_of
+from tidemark.llm.common import Scratch, documents, map_batches, release, words_of
 from tidemark.llm.fm_index import FMIndex
 
 WINDOW = 20
@@ -188,12 +185,6 @@ def spans_text(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     return map_batches(joined, run, "h long, doc_id long, row long, start int, hot boolean, words string")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of stages whose result has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, unique: bool = True) -> DataFrame:
     """(row, spans of (start, n)): runs of windows of `docs` (row, doc_id, text) whose words also start earlier.
 

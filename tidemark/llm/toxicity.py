@@ -22,14 +22,14 @@ WINDOW, STRIDE = 32, 24
 HIDDEN = 8
 FEATURES = 5
 #: Labelled documents of each class that the network is fitted on at most, taken in the order of a hash of the id.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1200, 0: 2400}
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5, 6)
 #: Prior weight of the label share in a leaning, in documents.
 PRIOR = 10.0
 THRESHOLD = 0.7
 #: Unique words whose inputs a task remembers, and windows that go through the network at once.
-MEMORY, LANES = 300_000, 1024
+MEMORY, LANES = 150_000, 1024
 _SPLIT = bytes(32 if not (48 <= b < 58 or 97 <= b < 123 or b > 127) else b for b in range(256))
 
 
@@ -56,7 +56,7 @@ def gram_buckets(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         if n in NGRAMS:
             inside = of[: len(h)] == of[n - 1 :]
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
-            out.append(((mixed[inside] >> np.uint64(40)).astype(np.int64) % BUCKETS, begin - np.arange(len(words)) * (n - 1)))
+            out.append(((mixed[inside] >> np.uint64(40)).astype(np.int32) % BUCKETS, begin - np.arange(len(words)) * (n - 1)))
     return out
 
 
@@ -265,24 +265,21 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
         return None
     share = float(label.mean())
     seen, toxic = np.zeros((2, BUCKETS), np.float32), np.zeros((2, BUCKETS), np.float32)
-    own = []
     for ws, y in zip(lists, label):
-        words = list(dict.fromkeys(ws))
-        own.append((words, word_buckets(words), gram_buckets(words)) if words else None)
-        if words:
-            for k, buckets in enumerate((np.unique(own[-1][1]), np.unique(np.concatenate([b for b, _ in own[-1][2]])))):
+        if words := list(dict.fromkeys(ws)):
+            for k, buckets in enumerate((np.unique(word_buckets(words)), np.unique(np.concatenate([b for b, _ in gram_buckets(words)])))):
                 seen[k, buckets] += 1
                 toxic[k, buckets] += y
     docs = []
-    for ws, y, mine in zip(lists, label, own):
-        if mine:
+    for ws, y in zip(lists, label):
+        if words := list(dict.fromkeys(ws)):
             # The document's own occurrences do not count in what it is shown.
-            words, k, grams = mine
+            k, grams = word_buckets(words), gram_buckets(words)
             each = lambda kind, b: leaning(toxic[kind, b] - y, seen[kind, b] - 1, share)  # noqa: E731, B023
             x = inputs(each(0, k), seen[0, k] > 1, [(each(1, b), at) for b, at in grams])
             number = {w: n for n, w in enumerate(words)}
             docs.append((x[np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))], float(y)))
-    del own
+    del lists
     parts, labels = [], []
     for x, y in docs:
         starts = window_starts(len(x))
