@@ -164,6 +164,38 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert simhash.simhash_near_dedup(docs.limit(0)).count() == 0
 
 
+def jaccard_survivors(texts, n, similarity):
+    """Places of the texts that stay, by comparing all pairs."""
+    words = [brute.lower(t).split() for t in texts]
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in words]
+    low = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if low[a] != low[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = [x if v == y else v for v in low]
+    return [k for k in range(len(texts)) if low[k] == k]
+
+
+def varied(rng, words, changes):
+    out = list(words)
+    for k in rng.sample(range(len(out)), changes):
+        out[k] = f"c{rng.randint(0, 10**9)}"
+    return " ".join(out)
+
+
+def test_near_copies_at_the_threshold_with_the_pipelines_parameters(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(6, 400))]
+        texts += [" ".join(words), varied(rng, words, max(1, len(words) // 50))]
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect())
+    assert len(kept) < 100 and kept == jaccard_survivors(texts, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(-60, 60)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, common.Scratch(spark, "t")).collect()}

@@ -1,0 +1,161 @@
+"""Self-join of texts on the Jaccard similarity of their word shingles, by a prefix filter: no pair is missed.
+
+Shingles have one global order. Two sets of similarity t or more share a shingle among the first
+n - ceil(t * n) + 1 of each, n being the set's size. So only documents that share a shingle of these prefixes are
+compared, after the size, the place of the shingle and a parity bitmap have ruled out what cannot reach t.
+
+The order is by hash, but shingles that a sample shows to be frequent come last, the most frequent at the end. The
+sample decides how much is compared, not what is found: any order that is the same for all documents is exact.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import map_batches
+
+#: Documents whose shingles are counted for the order, the count from which one is frequent, and how many are listed.
+SAMPLE, FREQUENT, LISTED = 10_000, 5, 200_000
+#: Documents with a shared shingle that are compared in one group; more are cut into blocks, each pair of blocks a group.
+BLOCK = 4096
+#: Bits of the parity bitmap.
+BITS = 512
+
+
+def hashes(parts: list[bytes]) -> np.ndarray:
+    """The set's XXH64, ascending; a text without a word has one shingle of its own."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts or [b""]), np.uint64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    """Bit k is the parity of the number of hashes that fall to k: two sets differ in as many elements as bits, or more."""
+    return np.packbits(np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def frequent(plain: DataFrame, parts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, ascending, and their places from the least frequent (1) on."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [hashes(parts(t)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    step = max(1, plain.count() // SAMPLE)
+    some = plain.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    counted = map_batches(some, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counted.orderBy(F.desc("n"), "key").limit(LISTED).toPandas()
+    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(keys) - np.arange(len(keys)))[order]
+
+
+def prefixes(plain: DataFrame, parts, similarity: float) -> DataFrame:
+    """(key, row, size, at) of each document of `plain` (doc_id, text): its prefix's hashes and their places, where others have them too."""
+    listed, places = frequent(plain, parts)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t in batch.column(1).to_pylist():
+            h = hashes(parts(t))
+            n, keep = len(h), prefix_length(len(h), similarity)
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                rank = np.where(listed[at] == h, places[at], 0)
+                h = h[np.argsort(rank, kind="stable")]
+            out.append((h[:keep], n))
+        lengths = [len(h) for h, _ in out]
+        columns = [np.concatenate([h for h, _ in out]).view(np.int64), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat([n for _, n in out], lengths).astype(np.int32), np.concatenate([np.arange(k) for k in lengths]).astype(np.int32)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], ["key", "row", "size", "at"])
+
+    def shared(part: pa.Table) -> pa.RecordBatch:
+        key = part.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        return part.filter(pa.array(np.r_[False, same] | np.r_[same, False]))
+
+    found = map_batches(plain.select("doc_id", "text"), run, "key long, row long, size int, at int")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(by_group("key", shared), found.schema)
+
+
+def by_group(name: str, f):
+    """Runs `f` over tables that hold whole groups of rows with an equal column `name`; the rows are sorted by it."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 50_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = table.column(name).to_numpy()
+                last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+                if last:
+                    yield from f(table.slice(0, last)).to_batches()
+                held = table.slice(last).combine_chunks().to_batches()
+                size = table.num_rows - last
+        if held:
+            yield from f(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return run
+
+
+def unconnected(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, row, size, at, comp, n) of `shared` where documents of several components of `label` (node, component) share the key."""
+    mine = shared.select("key", "row", "size", "at").join(label.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component")
+    keys = mine.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n")
+    return mine.join(keys, "key")
+
+
+def marks(plain: DataFrame, parts) -> DataFrame:
+    """(row, bits): the bitmap of each document of `plain`."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(hashes(parts(t))) for t in batch.column(1).to_pylist()], pa.binary())], ["row", "bits"])
+
+    return map_batches(plain.select("doc_id", "text"), run, "row long, bits binary")
+
+
+def possible(rows: DataFrame, bits: DataFrame, similarity: float, all_pairs: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of documents of different components in `rows` (of `unconnected`) that may reach the similarity.
+
+    Without `all_pairs` only those that stand together in an order which differs from key to key.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("p"), F.greatest(own, other).alias("q")))
+    dealt = rows.select("row", "size", "at", "comp", "key", F.explode(pairs).alias("pair")).select("row", "size", "at", "comp", F.xxhash64("key", "pair.p", "pair.q").alias("grp"), F.xxhash64("row", "key").alias("place"))
+
+    def run(part: pa.Table) -> pa.Table:
+        row, size, at, comp, group = (part.column(c).to_numpy() for c in ("row", "size", "at", "comp", "grp"))
+        words = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(row), -1)
+        n = len(row)
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+        rows, step, found = np.arange(n), 1, [np.zeros((0, 2), np.int64)]
+        while len(rows := rows[rows + step < ends[rows]]):
+            a = rows[comp[rows] != comp[rows + step]]
+            b = a + step
+            least = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6)
+            fits = 1 + np.minimum(size[a] - 1 - at[a], size[b] - 1 - at[b]) >= least
+            fits &= np.minimum(size[a], size[b]) >= least
+            a, b, least = a[fits], b[fits], least[fits]
+            fits = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= size[a] + size[b] - 2 * least
+            a, b = row[a[fits]], row[b[fits]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            if not all_pairs:
+                break
+            step += 1
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    sorted_rows = dealt.join(bits, "row").repartition("grp").sortWithinPartitions("grp", "place")
+    return sorted_rows.mapInArrow(by_group("grp", run), "a long, b long").distinct()

@@ -15,7 +15,7 @@ than two blocks, nothing is left out, and a group reports a spanning star instea
 from __future__ import annotations
 
 from itertools import combinations
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import set_join
 from tidemark.llm.common import Scratch, documents, map_batches, release
 from tidemark.llm.components import components
 
@@ -260,24 +261,44 @@ def candidate_pairs(fps: DataFrame, scratch: Scratch, max_bits: int, segments: i
 def drop_near_copies(docs: DataFrame, shingle: int, max_bits: int, segments: int, similarity: float, seeds: tuple[int, ...] = (SEED,), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one document of each group of near copies, that with the smallest id; all columns are kept.
 
-    Candidates are documents whose fingerprints of any seed are equal or linked; a link counts if the Jaccard similarity of
-    the word shingles (A-Z lower-cased) is `similarity` or more. Each document is compared with the first and with the
-    nearest of every bucket it shares, so a group needs no more links than it has documents in each bucket. Texts
-    without a word are near copies of each other, null ones too; null ids come after all others.
+    A link counts if the Jaccard similarity of the word shingles (A-Z lower-cased) is `similarity` or more. Documents whose
+    fingerprints of any seed are equal or linked are compared first: each with the first and with the nearest of every
+    bucket it shares, which connects most copies at little cost. Fingerprints miss links, so whatever is still
+    unconnected goes through a join that misses none (set_join): first neighbours within each shared shingle, then every
+    pair that may reach the similarity. Texts without a word are near copies of each other, null ones too; null ids come
+    after all others.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-copies")
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text)))
     plain = keyed.select(F.col("__row").alias("doc_id"), F.col(text).alias("text"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        texts = scratch.write(plain.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), f"texts-{name}")
+        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        out = scratch.write(similar(both, shingle, similarity), f"similar-{name}")
+        scratch.drop(f"texts-{name}")
+        return out
+
     fps = scratch.write(fingerprints(plain, shingle, seeds=seeds), "fingerprints")
     found = []
     for n in fps.columns[1:]:
         found.append(candidate_pairs(fps.select("doc_id", F.col(n).alias("fp")), Scratch(spark, f"near-copies-{n}"), max_bits, segments))
         release(spark)
-    pairs = scratch.write(reduce(DataFrame.union, found).distinct(), "pairs")
-    texts = scratch.write(plain.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    label = components(scratch.write(similar(both, shingle, similarity), "similar"), scratch)
+    edges = verified(scratch.write(reduce(DataFrame.union, found).distinct(), "pairs"), "fingerprints")
+    label = components(edges, Scratch(spark, "near-copies-linked"))
+
+    parts = partial(shingle_texts, n=shingle)
+    rows = scratch.write(set_join.unconnected(scratch.write(set_join.prefixes(plain, parts, similarity), "shared"), label), "unconnected")
+    scratch.drop("shared")
+    release(spark)
+    bits = scratch.write(set_join.marks(plain.join(rows.select(F.col("row").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), parts), "marks")
+    near = verified(scratch.write(set_join.possible(rows, bits, similarity, False), "neighbours"), "neighbours")
+    edges = edges.union(near)
+    rows = scratch.write(set_join.unconnected(rows, components(edges, Scratch(spark, "near-copies-neighbours"))), "left")
+    rest = verified(scratch.write(set_join.possible(rows, bits, similarity, True), "rest"), "rest")
+    label = components(edges.union(rest), Scratch(spark, "near-copies-all"))
+    release(spark)
     named = scratch.write(keyed.select("__row", F.col(id_col).alias("id")).join(label.select(F.col("node").alias("__row"), "component"), "__row"), "named")
     stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("s")).select(F.col("s.__row").alias("stays"), "component")
     gone = scratch.write(named.join(stays, "component").where("__row <> stays").select("__row").distinct(), "gone")
