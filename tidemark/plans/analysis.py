@@ -53,8 +53,17 @@ def availability_asof(s, d):
 @query(f"{T0} SELECT a.event_id, t.event_id AS entry_id, CASE WHEN t.ts_ms <= a.ts_ms + 14400000 THEN t.ask END AS entry FROM (SELECT event_id, ts_ms + 1 AS ts_ms, symbol FROM ticks WHERE event_id % 5 = 0) a ASOF LEFT JOIN ticks t ON a.symbol = t.symbol AND t.ts_ms >= a.ts_ms".replace("t.ask END", "round(t.ask, 6) END"))
 def entry_tick_lookup(s, d):
     """The first tick at or after the anchor, within four hours for its price."""
-    t = ticks(s, d)
-    a = t.where("event_id % 5 = 0").select("event_id", (F.col("ts_ms") + 1).alias("at_ms"), "symbol")
+    return _entry(ticks(s, d), "event_id % 5 = 0")
+
+
+@query()
+def entry_tick_lookup_all(s, d):
+    """The same with every tick as an anchor."""
+    return _entry(ticks(s, d))
+
+
+def _entry(t, anchors="true"):
+    a = t.where(anchors).select("event_id", (F.col("ts_ms") + 1).alias("at_ms"), "symbol")
     got = J.asof_forward(a, t.select("symbol", "ts_ms", F.col("event_id").alias("entry_id"), "ask"), "symbol", "at_ms", "ts_ms", ["entry_id", "ask"])
     return got.select("event_id", F.col("asof_entry_id").alias("entry_id"), F.round(F.when(F.col("asof_ts_ms") <= F.col("at_ms") + 4 * T.HOUR, F.col("asof_ask")), 6).alias("entry"))
 
@@ -123,9 +132,8 @@ _TOUCH = f"""{WITH}, a AS (SELECT event_id AS anchor_id, symbol, ts_ms AS anchor
   FROM a LEFT JOIN ticks t ON t.symbol = a.symbol AND t.ts_ms > anchor_ms AND t.ts_ms <= anchor_ms + 14400000 GROUP BY 1)"""
 
 
-def _touch(s, d):
-    t = ticks(s, d)
-    a = t.where("event_id % 4 < 2").select(F.col("event_id").alias("anchor_id"), "symbol", F.col("ts_ms").alias("anchor_ms"), F.col("ask").alias("entry"), F.when(F.col("event_id") % 2 == 0, "LONG").otherwise("SHORT").alias("side"))
+def _touch(t, anchors="true"):
+    a = t.where(anchors).select(F.col("event_id").alias("anchor_id"), "symbol", F.col("ts_ms").alias("anchor_ms"), F.col("ask").alias("entry"), F.when(F.col("event_id") % 2 == 0, "LONG").otherwise("SHORT").alias("side"))
     stop = F.expr("side = 'LONG' AND bid <= entry * 0.5D OR side = 'SHORT' AND ask >= entry * 1.5D")
     target = F.expr("side = 'LONG' AND bid >= entry * 1.5D OR side = 'SHORT' AND ask <= entry * 0.5D")
     return J.first_touch(a, t.select("symbol", "ts_ms", "bid", "ask"), {"stop_ms": stop, "target_ms": target}, 4 * T.HOUR)
@@ -133,14 +141,34 @@ def _touch(s, d):
 
 @query(f"{_TOUCH} SELECT anchor_id, stop_ms, target_ms, CASE WHEN stop_ms IS NULL AND target_ms IS NULL THEN 'NEITHER' WHEN target_ms IS NULL OR stop_ms <= target_ms THEN 'STOP' ELSE 'TARGET' END AS first FROM b")
 def first_touch_barriers(s, d):
+    return _first(_touch(ticks(s, d), "event_id % 4 < 2"))
+
+
+@query()
+def first_touch_barriers_all(s, d):
+    """The same with every tick as an anchor."""
+    return _first(_touch(ticks(s, d)))
+
+
+def _first(touched):
     first = F.when(F.col("stop_ms").isNull() & F.col("target_ms").isNull(), "NEITHER").when(F.col("target_ms").isNull() | (F.col("stop_ms") <= F.col("target_ms")), "STOP").otherwise("TARGET")
-    return _touch(s, d).withColumn("first", first)
+    return touched.withColumn("first", first)
 
 
 @query(f"{_TOUCH} SELECT count(*) AS cases, count(stop_ms) AS stopped, count(target_ms) AS reached, round(avg(CASE WHEN target_ms IS NOT NULL AND (stop_ms IS NULL OR target_ms < stop_ms) THEN 1.0 ELSE 0.0 END), 6) AS target_first FROM b")
 def stop_target_summary(s, d):
+    return _summary(_touch(ticks(s, d), "event_id % 4 < 2"))
+
+
+@query()
+def stop_target_summary_all(s, d):
+    """The same with every tick as an anchor."""
+    return _summary(_touch(ticks(s, d)))
+
+
+def _summary(touched):
     won = F.col("target_ms").isNotNull() & (F.col("stop_ms").isNull() | (F.col("target_ms") < F.col("stop_ms")))
-    return _touch(s, d).agg(F.count("*").alias("cases"), F.count("stop_ms").alias("stopped"), F.count("target_ms").alias("reached"), r(F.avg(F.when(won, 1.0).otherwise(0.0)), "target_first"))
+    return touched.agg(F.count("*").alias("cases"), F.count("stop_ms").alias("stopped"), F.count("target_ms").alias("reached"), r(F.avg(F.when(won, 1.0).otherwise(0.0)), "target_first"))
 
 
 @query(f"{WITH} SELECT a.symbol, a.start_ms, round(max(b.high), 6) AS highest, round(min(b.low), 6) AS lowest, count(b.start_ms) AS n_bars FROM bars a LEFT JOIN bars b ON a.symbol = b.symbol AND b.start_ms >= a.close_ms AND b.start_ms < a.close_ms + 43200000 GROUP BY 1, 2")
@@ -175,6 +203,17 @@ def conflicting_duplicates(s, d):
 def dedup_against_history(s, d):
     e = table(s, d, "events").select("event_id", "event_type")
     seen = e.where("event_id % 3 = 0 AND event_id <= 5000").select("event_id")
+    return _fresh(e, seen)
+
+
+@query()
+def dedup_against_history_all(s, d):
+    """The same against a history that grows with the table: all events of the TRAIN period."""
+    e = _split(s, d)
+    return _fresh(e.select("event_id", "event_type"), e.where("period = 'TRAIN'").select("event_id"))
+
+
+def _fresh(e, seen):
     return e.join(seen, "event_id", "left_anti").groupBy("event_type").agg(F.count("*").alias("fresh"))
 
 
