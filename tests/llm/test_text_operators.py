@@ -196,6 +196,19 @@ def test_near_copies_at_the_threshold_with_the_pipelines_parameters(spark):
     assert len(kept) < 100 and kept == jaccard_survivors(texts, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
 
 
+def test_large_groups_around_the_threshold_leave_no_surplus(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(2):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        texts += [varied(rng, words, rng.choice([3, 4, 4, 5, 6])) for _ in range(150)]
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect())
+    want = jaccard_survivors(texts, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
+    assert 2 < len(want) < len(texts) and kept == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(-60, 60)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, common.Scratch(spark, "t")).collect()}

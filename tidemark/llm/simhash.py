@@ -147,7 +147,10 @@ def links(fps: np.ndarray, group: np.ndarray, max_bits: int, segments: int) -> t
 
 
 def partners(fps: np.ndarray, group: np.ndarray, max_bits: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of the same group: of each fingerprint that with the first in the group and that with the nearest."""
+    """Links among fingerprints of the same group: of each fingerprint that with the first in the group and that with the nearest.
+
+    These are not all links: for callers that compare by other means what is still unconnected afterwards.
+    """
     n = len(fps)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])) if n else starts
