@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tidemark.llm import common, components, exact_dedup, fingerprints, fm_index, html_extract, language_id, mixing, queries, range_coder, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity
+from tidemark.llm import common, components, exact_dedup, fingerprints, fm_index, html_extract, language_id, mixing, near_copies, queries, range_coder, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity
 
 HARD = [None, "", " \t\n", "a", "A b\x0bc", "x " * 5000, "é" + "é" * 3 + "　z", "\x00\x1f\x85", "🙂 " * 30, "repeat these words again and again " * 20]
 
@@ -158,9 +158,11 @@ def test_near_copies_keep_one_of_each_group(spark):
     near = words[:200] + ["changed"] + words[201:]
     other = [f"v{rng.randint(0, 9999)}" for _ in range(400)]
     docs = frame(spark, [" ".join(other), " ".join(words), " ".join(near), " ".join(words[:100]), None, ""], extra="e")
-    kept = simhash.drop_near_copies(docs, 5, 8, 11, 0.8)
+    kept = near_copies.drop_near_copies(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4] and kept.columns == docs.columns
-    assert simhash.drop_near_copies(docs.limit(0), 5, 8, 11, 0.8).count() == 0
+    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+    again = near_copies.drop_near_copies(docs.union(docs).union(docs).withColumn("node", F.lit(1)).withColumn("fp", F.lit("x")))
+    assert sorted(r.doc_id for r in again.collect()) == [0, 1, 3, 4]
     assert simhash.simhash_near_dedup(docs.limit(0)).count() == 0
 
 
@@ -498,6 +500,32 @@ def test_raking_matches_numpy(spark):
     assert all(0 <= r.mix_probability <= 1 for r in got)
 
 
+def test_drawn_margins_hold_under_the_cap(spark):
+    rng = random.Random(4)
+    texts = [" ".join("w" for _ in range(rng.randint(1, 900))) for _ in range(400)]
+    rows = [(k, t, rng.choice(["en", "en", "de", "fr"]), rng.choice("aaaaaabbbc"), 0) for k, t in enumerate(texts)]
+    got = mixing.mix(spark.createDataFrame(rows, brute.DOCS), budget=0.8).collect()
+    total = sum(r.mix_tokens for r in got)
+    assert sum(r.mix_probability == 1 for r in got) > 20
+    for margin, power in mixing.POWERS.items():
+        mass, have = {}, {}
+        for r in got:
+            name = r.mix_topic if margin == "topic" else r[margin]
+            mass[name] = mass.get(name, 0) + r.mix_tokens
+            have[name] = have.get(name, 0) + r.mix_tokens * r.mix_probability
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the scale at which the capped targets make up the budget
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(m, mid * m**power) for m in mass.values()) < 0.8 * total else (low, mid)
+        for name, m in mass.items():
+            assert have[name] == pytest.approx(min(m, high * m**power), rel=0.01)
+
+
+def test_mixing_without_source_and_language(spark):
+    docs = frame(spark, ["one two three"] * 6).drop("source", "lang")
+    assert all(r.mix_probability == pytest.approx(0.4) for r in mixing.mix(docs, budget=0.4).collect())
+
+
 def test_mixing_targets_and_edges(spark):
     docs = frame(spark, ["one two three"] * 6, mix_weight="w")
     targets = {"source": spark.createDataFrame([("s0", 0.5), ("s1", 0.5)], "name string, share double")}

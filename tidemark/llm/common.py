@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,32 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
     return df.mapInArrow(run, schema)
 
 
+def by_group(name: str, f: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs `f` over tables that hold whole groups of rows with an equal column `name`; the rows are sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, wanted = 0, 50_000
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= wanted:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = table.column(name).to_numpy()
+                last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+                if last:
+                    yield from f(table.slice(0, last)).to_batches()
+                held = table.slice(last).combine_chunks().to_batches()
+                size = table.num_rows - last
+                wanted = max(50_000, 2 * size)
+        if held:
+            yield from f(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return run
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

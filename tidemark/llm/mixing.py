@@ -1,12 +1,14 @@
 """Mixing to target weights: iterative proportional fitting of token weights, then sampling.
 
 Documents are added up to cells (source, language, topic); the cells' token masses are raked until their margins
-meet the targets, and a cell's documents are drawn with the probability that gives its raked mass. Everything is
-over the cell table in Spark; what reaches the driver is a few sums a sweep and the grid of one search.
+meet the targets, no cell giving more than it has, and a cell's documents are drawn with the probability that gives its
+raked mass. Everything is over the cell table in Spark; what reaches the driver is a few sums a sweep.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from tidemark.llm.common import Scratch, documents
 
 MARGINS = ("source", "lang", "topic")
 #: Margins are met when no target is off by more than this share of it, or after so many sweeps.
-TOLERANCE, SWEEPS = 1e-3, 25
+TOLERANCE, SWEEPS = 1e-3, 30
+#: Weights above 1 all mean the probability 1; they are kept for later sweeps, up to this.
+CEILING = 1e6
 #: Targets are natural shares to these powers: below 1 they level large and small groups.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 #: Share of all tokens to be drawn.
@@ -51,55 +55,73 @@ def tempered(cells: DataFrame, powers: dict[str, float] | None = None) -> dict[s
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
-    """`cells` (margins, mass, ...) with `raked`: masses that sum to 1 and whose margins meet `targets`.
+def attainable(cells: DataFrame, targets: dict[str, DataFrame], total: float, budget: float, scratch: Scratch) -> DataFrame:
+    """(margin, name, share, want): tokens of each name, `budget` of all in each margin, by the shares but never more than there are.
 
-    A name without a target keeps nothing; a target without mass is left out, and the others share its part.
-    Targets that contradict each other leave the last margin met and the others as near as the sweeps came.
+    What a name lacks the others of its margin get. Names without a target want nothing; a target without mass is left
+    out, and the others share its part. Each step fixes the names that the last scale would exhaust, so the scale only
+    grows and soon stays.
     """
-    total = cells.agg(F.sum("mass")).first()[0] or 0.0
-    current = scratch.write(cells.withColumn("raked", F.col("mass") / F.lit(max(total, 1e-300))), "raked-0")
-    if not total:
-        return current
-    held = {m: scratch.write(t.select(F.col("name").alias(m), F.col("share").alias("want")), f"target-{m}") for m, t in targets.items()}
+    parts = []
+    for margin, target in targets.items():
+        mass = cells.groupBy(F.col(margin).alias("name")).agg(F.sum("mass").alias("mass"))
+        share = F.when(F.col("mass") > 0, F.coalesce(F.col("share"), F.lit(0.0))).otherwise(0.0)
+        parts.append(mass.join(target.select("name", "share"), "name", "left").select(F.lit(margin).alias("margin"), "name", "mass", share.alias("share")))
+    names = scratch.write(reduce(DataFrame.union, parts), "names")
+    wanted, whole = min(budget, 1.0) * total, {r.margin: r.x or 1.0 for r in names.groupBy("margin").agg(F.sum("share").alias("x")).collect()}
+    by_margin = lambda of: reduce(lambda out, m: out.when(F.col("margin") == m, F.lit(float(of[m]))), of, F.when(F.lit(False), 0.0))
+    scale = {m: wanted / whole.get(m, 1.0) for m in targets}
+    for _ in range(50):
+        full = by_margin(scale) * F.col("share") >= F.col("mass")
+        sums = names.where("share > 0").groupBy("margin").agg(F.sum(F.when(full, F.col("mass")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("share"))).alias("free"))
+        new = {r.margin: max(scale[r.margin], (wanted - r.full) / r.free if r.free > 0 else 0.0) for r in sums.collect()}
+        if all(x <= scale[m] * (1 + 1e-12) for m, x in new.items()):
+            break
+        scale |= new
+    share = F.col("share") / by_margin(whole)
+    return scratch.write(names.select("margin", "name", share.alias("share"), F.least(F.col("mass"), by_margin(scale) * F.col("share")).alias("want")), "wanted")
+
+
+def rake(cells: DataFrame, start: Column, wanted: DataFrame, capped: bool, scratch: Scratch, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
+    """`cells` (margins, mass, ...) with `raked`, from `start` on, so that mass * raked meets `wanted` (margin, name, want).
+
+    For each margin in turn a name's cells are scaled so that they give what it wants. Where `capped`, a cell gives its
+    mass at most: cells at 1 or above count as they are and only the others are scaled to the rest, so margins hold under
+    the cap. Margins that contradict each other leave the last one met and the others as near as the sweeps came.
+    """
+    margins = [m for m in MARGINS if not wanted.where(F.col("margin") == m).isEmpty()]
+    current = scratch.write(cells.withColumn("raked", F.when(F.col("mass") > 0, start).otherwise(0.0)), f"raked-{capped}-0")
     for sweep in range(1, sweeps + 1):
         df, off = current, F.lit(0.0)
-        for margin, want in held.items():
-            have = df.where("raked > 0").groupBy(margin).agg(F.sum("raked").alias("have"))
-            factor = have.join(want, margin, "left").select(margin, (F.coalesce("want", F.lit(0.0)) / F.col("have")).alias("factor"))
-            df = df.join(factor, margin, "left").withColumn("raked", F.col("raked") * F.coalesce("factor", F.lit(0.0)))
-            off = F.greatest(off, F.when(F.col("raked") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))
-            df = df.withColumn("__off", off).drop("factor")
+        for margin in margins:
+            full = (F.col("raked") >= 1) & F.lit(capped)
+            have = df.where("mass > 0").groupBy(margin).agg(F.sum(F.when(full, F.col("mass")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("mass") * F.col("raked"))).alias("free"))
+            want = wanted.where(F.col("margin") == margin).select(F.col("name").alias(margin), "want")
+            given = F.col("full") + F.col("free")
+            factor = F.when((F.col("free") > 0) & (F.col("want") > F.col("full")), (F.col("want") - F.col("full")) / F.col("free")).when(given > 0, F.col("want") / given).otherwise(1.0)
+            apart = F.when(F.col("want") > 0, F.abs(given / F.col("want") - 1)).otherwise(F.when(given > 0, 1.0).otherwise(0.0))
+            df = df.join(have.join(want, margin).select(margin, factor.alias("factor"), apart.alias("apart")), margin, "left")
+            df = df.withColumn("raked", F.least(F.col("raked") * F.coalesce("factor", F.lit(0.0)), F.lit(CEILING)))
+            df = df.withColumn("__off", F.greatest(off, F.coalesce("apart", F.lit(0.0)))).drop("factor", "apart")
             off = F.col("__off")
-        done = scratch.write(df, f"raked-{sweep}")
-        worst, whole = done.agg(F.max("__off"), F.sum("raked")).first()
+        done = scratch.write(df, f"raked-{capped}-{sweep}")
+        worst = done.agg(F.max("__off")).first()[0] or 0.0
         current = done.drop("__off")
-        if sweep > 1:
-            scratch.drop(f"raked-{sweep - 1}")
-        if not whole or worst < tolerance:
+        scratch.drop(f"raked-{capped}-{sweep - 1}")
+        if worst < tolerance:
             break
-    whole = current.agg(F.sum("raked")).first()[0]
-    return current.withColumn("raked", F.col("raked") / F.lit(whole or 1.0))
-
+    return current
 
-def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """`raked` with `weight` (raked share by natural share) and `probability`, min(1, scale * weight).
 
-    The scale is such that the expected tokens are `budget` of all, or of what has weight if that is less. It is
-    found by three searches over a grid of 64 scales, each one aggregation.
-    """
-    total = raked.agg(F.sum("mass")).first()[0] or 0.0
-    weighed = raked.withColumn("weight", F.when(F.col("mass") > 0, F.col("raked") * total / F.col("mass")).otherwise(F.when(F.lit(total) > 0, 0.0).otherwise(1.0)))
+def weigh(cells: DataFrame, targets: dict[str, DataFrame], budget: float, scratch: Scratch) -> DataFrame:
+    """`cells` with `weight`, raked to the targets as they are, and `probability`, raked to what is attainable of them at `budget`."""
+    total = cells.agg(F.sum("mass")).first()[0] or 0.0
     if not total:
-        return weighed.withColumn("probability", F.lit(1.0))
-    least = weighed.where("weight > 0").agg(F.min("weight")).first()[0]
-    low, high = 0.0, 1.0 / (least or 1.0)
-    for _ in range(3):
-        grid = [low + (high - low) * (k + 1) / 64 for k in range(64)]
-        drawn = weighed.agg(*(F.sum(F.col("mass") * F.least(F.lit(1.0), F.lit(s) * F.col("weight"))).alias(f"s{k}") for k, s in enumerate(grid))).first()
-        k = next((k for k in range(64) if drawn[k] >= budget * total), 63)
-        low, high = (grid[k - 1] if k else low), grid[k]
-    return weighed.withColumn("probability", F.least(F.lit(1.0), F.lit(high) * F.col("weight")))
+        return cells.withColumns({"weight": F.lit(1.0), "probability": F.lit(1.0)})
+    wanted = attainable(cells, targets, total, budget, scratch)
+    weighed = rake(cells, F.lit(1.0), wanted.select("margin", "name", (F.col("share") * total).alias("want")), False, scratch).withColumnRenamed("raked", "weight")
+    found = rake(weighed, F.col("weight") * budget, wanted, True, scratch)
+    return found.withColumn("probability", F.least(F.lit(1.0), "raked")).drop("raked")
 
 
 def draw(id_col: str, seed: int = SEED) -> Column:
@@ -110,17 +132,19 @@ def draw(id_col: str, seed: int = SEED) -> Column:
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with mix_topic, mix_tokens, mix_weight, mix_probability and mix_drawn; columns of these names are replaced.
 
-    Null sources, languages and topics are one name, UNNAMED. Documents of no tokens have no mass and are not
+    Null sources, languages and topics are one name, UNNAMED, as is everything where the column is not there. Documents of no tokens have no mass and are not
     drawn, unless none has any: then all are. Rows that repeat an id share their number, so copies stay or go
-    together. `targets` gives (name, share) by margin; natural shares to POWERS where it is not given.
+    together. `targets` gives (name, share) by margin; natural shares to POWERS where it is not given. mix_weight is the
+    weight raked to the targets; mix_probability is raked under the cap of 1; `budget` is the share of all tokens that is expected to be drawn.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_drawn")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(UNNAMED))
     keyed = docs.withColumns({"mix_topic": name(topic if topic is not None else topic_of(F.col(text))), "mix_tokens": tokens_of(F.col(text))})
-    of = {"source": name(F.col("source")), "lang": name(F.col("lang")), "topic": F.col("mix_topic")}
+    given = lambda c: F.col(c) if c in docs.columns else F.lit(None)
+    of = {"source": name(given("source")), "lang": name(given("lang")), "topic": F.col("mix_topic")}
     cells = scratch.write(keyed.groupBy(*(c.alias(m) for m, c in of.items())).agg(F.sum("mix_tokens").alias("mass"), F.count("*").alias("documents")), "cells")
-    found = probabilities(rake(cells, targets or tempered(cells), scratch), budget)
+    found = weigh(cells, tempered(cells) if targets is None else targets, budget, scratch)
     found = scratch.write(found.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability")), "found")
     on = of["source"] == found["__source"]
     on &= (of["lang"] == found["__lang"]) & (of["topic"] == found["__topic"])

@@ -15,7 +15,7 @@ than two blocks, nothing is left out, and a group reports a spanning star instea
 from __future__ import annotations
 
 from itertools import combinations
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import set_join
-from tidemark.llm.common import Scratch, documents, map_batches, release
+from tidemark.llm.common import Scratch, by_group, documents, map_batches
 from tidemark.llm.components import components
 
 SEED = 42
@@ -55,22 +54,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
     return majority(shingle_texts(text, shingle), seed)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; fp, fp1, ... for several seeds.
-
-    Null text counts as empty; a row each, repeated ids too.
-    """
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long. Null text counts as empty; a row each, repeated ids too."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = np.zeros((len(seeds), batch.num_rows), np.uint64)
-        for n, t in enumerate(batch.column(1).to_pylist()):
-            parts = shingle_texts(t, shingle)
-            for k, seed in enumerate(seeds):
-                out[k, n] = majority(parts, seed)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
+        out = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long" + "".join(f", {n} long" for n in names))
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -146,32 +137,8 @@ def links(fps: np.ndarray, group: np.ndarray, max_bits: int, segments: int) -> t
     return fps[moved], fps[low[moved]]
 
 
-def partners(fps: np.ndarray, group: np.ndarray, max_bits: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of the same group: of each fingerprint that with the first in the group and that with the nearest.
-
-    These are not all links: for callers that compare by other means what is still unconnected afterwards.
-    """
-    n = len(fps)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
-    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])) if n else starts
-    rows, first, near, best = np.arange(n), np.full(n, -1), np.full(n, -1), np.full(n, 65)
-    step = 1
-    while len(rows := rows[rows + step < ends[rows]]):
-        differing = fps[rows] ^ fps[rows + step]
-        fits = np.flatnonzero(pigeonring(differing, max_bits, segments))
-        bits = np.bitwise_count(differing[fits])
-        a, bits = rows[fits[bits <= max_bits]], bits[bits <= max_bits]
-        first[a + step] = a
-        for mine, other in ((a, a + step), (a + step, a)):
-            nearer = bits < best[mine]
-            best[mine[nearer]], near[mine[nearer]] = bits[nearer], other[nearer]
-        step += 1
-    a, b = np.r_[rows[:0], np.flatnonzero(first >= 0), np.flatnonzero(near >= 0)], np.r_[first[first >= 0], near[near >= 0]]
-    return fps[a], fps[b]
-
-
-def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK, found=links) -> DataFrame:
-    """Edges (a, b) among the distinct fingerprints `distinct` (fp long): with `links`, such as span every component."""
+def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) among the distinct fingerprints `distinct` (fp long), such as span every component."""
     keyed = distinct.select("fp", F.explode(keys(F.col("fp"), max_bits, segments)).alias("key"))
     shared = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     rows = keyed.join(shared, "key")
@@ -180,32 +147,11 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, max_bits: int = MAX
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("p"), F.greatest(mine, other).alias("q")))
     dealt = rows.select("fp", F.explode(pairs).alias("pair"), "key").select("fp", F.xxhash64("key", "pair.p", "pair.q").alias("grp"))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(part: pa.Table):
-            fps = part.column("fp").to_numpy().view(np.uint64)
-            a, b = found(fps, part.column("grp").to_numpy(), max_bits, segments)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 50_000:
-                table = pa.Table.from_batches(held).combine_chunks()
-                group = table.column("grp").to_numpy()
-                last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
-                if last:
-                    yield flush(table.slice(0, last))
-                held = table.slice(last).to_batches()
-                size = table.num_rows - last
-        if held:
-            yield flush(pa.Table.from_batches(held).combine_chunks())
-
-    return dealt.repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(run, "a long, b long")
+    def run(part: pa.Table) -> pa.Table:
+        a, b = links(part.column("fp").to_numpy().view(np.uint64), part.column("grp").to_numpy(), max_bits, segments)
+        return pa.Table.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return dealt.repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(by_group("grp", run), "a long, b long")
 
 
 def near_components(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
@@ -232,82 +178,6 @@ def simhash_near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BI
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)}
-
-
-def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of `pairs` (a, b, a_text, b_text) whose word shingles have the Jaccard similarity or more."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            p, q = shingles(x, shingle), shingles(y, shingle)
-            keep.append(len(p & q) >= similarity * len(p | q))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return map_batches(pairs.select("a", "b", "a_text", "b_text"), run, "a long, b long")
-
-
-def candidate_pairs(fps: DataFrame, scratch: Scratch, max_bits: int, segments: int) -> DataFrame:
-    """Pairs (a, b) of documents of one fingerprint or of linked ones, out of `fps` (doc_id, fp): no more than a few for each document and bucket."""
-    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("row"), F.count("*").alias("n")), "distinct")
-    linked = fingerprint_links(distinct.select("fp"), scratch, max_bits, segments, found=partners)
-    linked = scratch.write(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "linked")
-    one = linked.join(distinct.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a")
-    across = one.join(distinct.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    within = fps.join(distinct.where("n > 1").select("fp", "row"), "fp").where("doc_id <> row").select(F.col("row").alias("a"), F.col("doc_id").alias("b"))
-    return scratch.write(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int, max_bits: int, segments: int, similarity: float, seeds: tuple[int, ...] = (SEED,), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each group of near copies, that with the smallest id; all columns are kept.
-
-    A link counts if the Jaccard similarity of the word shingles (A-Z lower-cased) is `similarity` or more. Documents whose
-    fingerprints of any seed are equal or linked are compared first: each with the first and with the nearest of every
-    bucket it shares, which connects most copies at little cost. Fingerprints miss links, so whatever is still
-    unconnected goes through a join that misses none (set_join): first neighbours within each shared shingle, then every
-    pair that may reach the similarity. Texts without a word are near copies of each other, null ones too; null ids come
-    after all others.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-copies")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text)))
-    plain = keyed.select(F.col("__row").alias("doc_id"), F.col(text).alias("text"))
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        texts = scratch.write(plain.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), f"texts-{name}")
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        out = scratch.write(similar(both, shingle, similarity), f"similar-{name}")
-        scratch.drop(f"texts-{name}")
-        return out
-
-    fps = scratch.write(fingerprints(plain, shingle, seeds=seeds), "fingerprints")
-    found = []
-    for n in fps.columns[1:]:
-        found.append(candidate_pairs(fps.select("doc_id", F.col(n).alias("fp")), Scratch(spark, f"near-copies-{n}"), max_bits, segments))
-        release(spark)
-    edges = verified(scratch.write(reduce(DataFrame.union, found).distinct(), "pairs"), "fingerprints")
-    label = components(edges, Scratch(spark, "near-copies-linked"))
-
-    parts = partial(shingle_texts, n=shingle)
-    rows = scratch.write(set_join.unconnected(scratch.write(set_join.prefixes(plain, parts, similarity), "shared"), label), "unconnected")
-    scratch.drop("shared")
-    release(spark)
-    bits = scratch.write(set_join.marks(plain.join(rows.select(F.col("row").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), parts), "marks")
-    near = verified(scratch.write(set_join.possible(rows, bits, similarity, False), "neighbours"), "neighbours")
-    edges = edges.union(near)
-    rows = scratch.write(set_join.unconnected(rows, components(edges, Scratch(spark, "near-copies-neighbours"))), "left")
-    rest = verified(scratch.write(set_join.possible(rows, bits, similarity, True), "rest"), "rest")
-    label = components(edges.union(rest), Scratch(spark, "near-copies-all"))
-    release(spark)
-    named = scratch.write(keyed.select("__row", F.col(id_col).alias("id")).join(label.select(F.col("node").alias("__row"), "component"), "__row"), "named")
-    stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("s")).select(F.col("s.__row").alias("stays"), "component")
-    gone = scratch.write(named.join(stays, "component").where("__row <> stays").select("__row").distinct(), "gone")
-    return keyed.join(gone, "__row", "left_anti").drop("__row")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
