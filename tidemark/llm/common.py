@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of whole texts handed to Python at once.
 BATCH_ROWS = 1000
+#: Rows, of some 100 bytes, up to which a written table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """`df`, a written table of a few numbers and hashes a row, marked for broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 

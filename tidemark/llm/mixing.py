@@ -16,7 +16,9 @@ from tidemark.llm.common import Scratch, documents
 
 MARGINS = ("source", "lang", "topic")
 #: Margins are met when no target is off by more than this share of it, or after so many sweeps.
-TOLERANCE, SWEEPS = 1e-3, 30
+TOLERANCE, SWEEPS = 3e-3, 30
+#: Sweeps that bring the worst target no nearer by a tenth, after which targets count as contradicting each other.
+STUCK = 3
 #: Weights above 1 all mean the probability 1; they are kept for later sweeps, up to this.
 CEILING = 1e6
 #: Targets are natural shares to these powers: below 1 they level large and small groups.
@@ -89,8 +91,9 @@ def rake(cells: DataFrame, start: Column, wanted: DataFrame, capped: bool, scrat
     mass at most: cells at 1 or above count as they are and only the others are scaled to the rest, so margins hold under
     the cap. Margins that contradict each other leave the last one met and the others as near as the sweeps came.
     """
-    margins = [m for m in MARGINS if not wanted.where(F.col("margin") == m).isEmpty()]
+    margins = [r.margin for r in wanted.select("margin").distinct().orderBy("margin").collect()]
     current = scratch.write(cells.withColumn("raked", F.when(F.col("mass") > 0, start).otherwise(0.0)), f"raked-{capped}-0")
+    least, stuck = float("inf"), 0
     for sweep in range(1, sweeps + 1):
         df, off = current, F.lit(0.0)
         for margin in margins:
@@ -108,7 +111,9 @@ def rake(cells: DataFrame, start: Column, wanted: DataFrame, capped: bool, scrat
         worst = done.agg(F.max("__off")).first()[0] or 0.0
         current = done.drop("__off")
         scratch.drop(f"raked-{capped}-{sweep - 1}")
-        if worst < tolerance:
+        stuck = stuck + 1 if worst > 0.9 * least else 0
+        least = min(least, worst)
+        if worst < tolerance or stuck == STUCK:
             break
     return current
 

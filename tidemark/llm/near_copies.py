@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, by_group, map_batches, release
+from tidemark.llm.common import Scratch, by_group, map_batches, release, small
 from tidemark.llm.components import components
 
 #: Segments on the ring, bits in each, and the greatest distance of two fingerprints that are compared further.
@@ -188,9 +188,9 @@ def candidates(features: DataFrame) -> DataFrame:
     return keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "hot boolean, a long, b long").distinct()
 
 
-def rest_of(hot: DataFrame, features: DataFrame) -> DataFrame:
-    """Candidates (a, b) among documents of different components that share one of the keys `hot` (key)."""
-    rows = chains(features).join(hot, "key")
+def rest_of(hot: DataFrame, features: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidates (a, b) among documents of different components that share one of the keys `hot` (key), a written table."""
+    rows = scratch.write(chains(features).join(small(hot), "key"), "hot-rows")
     several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -279,8 +279,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def texts_of(links: DataFrame, name: str) -> DataFrame:
         nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = rows.select("node", "sha").join(nodes, "node", "left_semi")
-        return scratch.write(plain.select("sha", "text").join(wanted, "sha").dropDuplicates(["node"]).select("node", "text"), name)
+        wanted = scratch.write(rows.select("node", "sha").join(small(scratch.write(nodes, f"{name}-nodes")), "node", "left_semi"), f"{name}-wanted")
+        return scratch.write(plain.select("sha", "text").join(small(wanted), "sha").dropDuplicates(["node"]).select("node", "text"), name)
 
     texts = texts_of(pairs, "texts")
     close = scratch.write(nearest(pairs), "nearest")
@@ -302,7 +302,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     release(spark)
 
     joined = features.drop("comp").join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    more = scratch.write(rest_of(found.where("hot").select(F.col("a").alias("key")).distinct(), joined), "more")
+    more = scratch.write(rest_of(scratch.write(found.where("hot").select(F.col("a").alias("key")).distinct(), "hot"), joined, scratch), "more")
     more = scratch.write(measured(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), features, similarity), "more-pairs")
     edges = edges.union(scratch.write(similar(more, texts_of(more, "more-texts"), shingle, similarity), "links-more"))
     known = label(edges, "linked-3")
@@ -313,7 +313,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     stays = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("s")).select("component", F.col("s.id").alias("s_id"), F.col("s.sha").alias("s_sha"))
     differs = ~(F.col("id").eqNullSafe(F.col("s_id")) & (F.col("sha") == F.col("s_sha")))
     gone = scratch.write(named.join(stays, "component").where(differs).select(F.col("id").alias("__gone_id"), F.col("sha").alias("__gone_sha")), "gone")
-    kept = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
+    kept = keyed.join(small(gone), F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
     if not named.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["__id", "__sha"])
     return kept.drop("__id", "__sha")
