@@ -390,6 +390,37 @@ def test_html_templates(spark):
 # token files
 
 
+def site(n, page):
+    return [(k, f"https://h.example/{k}", page(k)) for k in range(n)]
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_templates_of_a_site_go(spark):
+    # No tag, role or class gives these away: a notice that recurs, and a menu whose words change from page to page.
+    menu = lambda k: "".join(f"<li><a href='/{k}{j}'>go{k}-{j}</a></li>" for j in range(3 + k % 4))
+    page = lambda k: f"<body><div><ul>{menu(k)}</ul></div><div>All rights kept</div><div><h1>Head {k}</h1><p>Text {k}</p><p>more</p></div></body>"
+    assert extracted(spark, site(12, page)) == {k: f"Head {k}\nText {k}" for k in range(12)}
+    few = extracted(spark, site(3, page))
+    assert all("All rights kept" in t and "more" in t for t in few.values())
+
+
+def test_templates_of_a_section_go_on_a_large_host(spark):
+    page = lambda k: f"<body>{'<div>Section note</div>' if k < 10 else ''}<div><p>Text {k}</p></div></body>"
+    assert extracted(spark, site(100, page)) == {k: f"Text {k}" for k in range(100)}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    for wrap in ("<article><h1>T</h1><div><p>real text</p></div></article>", "<body><div><h1>T</h1><div><p>real text</p></div></div></body>"):
+        assert set(extracted(spark, site(20, lambda k: wrap)).values()) == {"T\nreal text"}  # noqa: B023
+
+
+def test_several_articles_stay_in_page_order():
+    assert html_extract.main_text("<article><p>one</p></article><nav>x</nav><article><p>two, longer</p></article>") == "one\ntwo, longer"
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 65536, range_coder.BLOCK), rng.integers(0, 3, 700), np.zeros(range_coder.BLOCK, int), np.zeros(0, int), np.array([65535]), rng.zipf(1.3, range_coder.BLOCK) % 5000]
@@ -557,6 +588,11 @@ def test_all_ten_are_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
 
 
+def test_ids_beyond_the_coders_width_are_refused():
+    with pytest.raises(ValueError):
+        range_coder.encode([np.array([70000, 3])])
+
+
 def test_digest_of_ids_is_little_endian():
     table = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
     assert table.num_rows == 1 and zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")

@@ -1,8 +1,12 @@
 """Main text of web pages, with removal of site templates.
 
-Each page is parsed once for the hashes of its container subtrees; Spark counts on how many pages of a host each
-subtree stands and the page is parsed again without the subtrees that recur across many pages of its host. What is
-left goes through rules on tags, roles and class names. A page's article, or else its main part or body, is read.
+Each page is parsed once for the hashes of its container subtrees: of the subtree with its texts and, as menus and
+notices change their words from page to page, of its shape alone. Spark counts with how many different contents of a host each
+stands, and the page is parsed again without the subtrees that recur across many of them. What is left goes through
+rules on tags, roles and class names. A page's articles, or else its main part or body, are read.
+
+Copies of a page have the same content and count once, so what recurs with one article alone is not a template. A shape
+counts where links hold most of its text, and never for what lies in an article.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, map_batches
 
-#: A subtree is a site's template if it stands on so many pages of the host at least, and on this share of them.
+#: A subtree is a site's template if it stands with so many contents of the host at least, and with this share of them: one
+#: share for containers outside of articles, one for what stands in them or is no container. The shares bound how many a host can have.
 TEMPLATE_PAGES = 5
-TEMPLATE_SHARE = 0.3
+OUTSIDE_SHARE, INSIDE_SHARE = 0.05, 0.3
+#: A shape can be a template if links hold this share of the subtree's text.
+LINKED_SHARE = 0.5
 
 # Tags of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,10 +51,32 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "digest")
+    __slots__ = ("tag", "marks", "kids", "digest", "shape", "chars", "linked")
 
     def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.kids, self.digest = tag, marks, [], 0
+        self.tag, self.marks, self.kids, self.digest, self.shape, self.chars, self.linked = tag, marks, [], 0, 0, 0, 0
+
+    def measure(self) -> None:
+        """Hash of the subtree, hash of it without texts and repeats, characters in all and in links."""
+        inner, shapes = [], []
+        for k in self.kids:
+            if isinstance(k, str):
+                inner.append(k)
+                self.chars += len(k.strip())
+            else:
+                inner.append(str(k.digest))
+                if not shapes or shapes[-1] != k.shape:
+                    shapes.append(k.shape)
+                self.chars += k.chars
+                self.linked += k.linked
+        if self.tag == "a":
+            self.linked = self.chars
+        self.digest, self.shape = (
+            xxhash.xxh64_intdigest(f"{self.tag}\x02{self.marks}\x02{x}".encode("utf-8", "replace"), seed) - (1 << 63) for seed, x in enumerate(("\x01".join(inner), shapes))
+        )
+
+    def is_linked(self) -> bool:
+        return self.chars > 0 and self.linked >= LINKED_SHARE * self.chars
 
 
 def parse(source: str, digests: bool = False) -> Node:
@@ -60,8 +89,7 @@ def parse(source: str, digests: bool = False) -> Node:
             node = stack.pop()
             opened[node.tag] -= 1
             if digests:
-                inner = "\x01".join(k if isinstance(k, str) else str(k.digest) for k in node.kids)
-                node.digest = xxhash.xxh64_intdigest(f"{node.tag}\x02{node.marks}\x02{inner}".encode("utf-8", "replace")) - (1 << 63)
+                node.measure()
 
     def text(piece: str) -> None:
         if piece:
@@ -104,29 +132,52 @@ def parse(source: str, digests: bool = False) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else len(source)
+            if digests:
+                node.measure()
             if tag in ("title", "textarea"):
                 continue
         elif tag not in VOID:
             stack.append(node)
             opened[tag] += 1
+        elif digests:
+            node.measure()
     text(source[at:])
     close(1)
+    if digests:
+        root.measure()
     return root
 
 
-def subtree_hashes(source: str) -> list[int]:
-    """Hashes of the subtrees that may be a template: containers anywhere, and all blocks where a page marks no article or main part."""
+def subtree_hashes(source: str) -> tuple[list[tuple[int, bool]], int]:
+    """What may be a template of the page's site, each with whether it is held to INSIDE_SHARE, and the hash of the page's content.
+
+    The content is the articles and main parts, or all where there are none. In these, and where there are none, any block may
+    be a template; elsewhere containers may.
+    """
     tree = [parse(source, digests=True)]
     parent = [-1]
     for at, node in enumerate(tree):  # the list grows: every element stands behind its parent
         kids = [k for k in node.kids if not isinstance(k, str)]
         tree += kids
         parent += [at] * len(kids)
-    around = [False] * len(tree)
+    holds, within, content = [n.tag in ("article", "main") for n in tree], [False] * len(tree), []
+    for at in range(1, len(tree)):
+        within[at] = within[parent[at]] or holds[parent[at]]
+        if holds[at] and not within[at]:
+            content.append(str(tree[at].digest))
     for at in range(len(tree) - 1, 0, -1):
-        around[parent[at]] |= around[at] or tree[at].tag in ("article", "main")
-    free = BLOCK - {"html", "body"} if not around[0] else CONTAINERS
-    return list({node.digest for node, holds in zip(tree, around) if node.tag in free and not holds})
+        holds[parent[at]] |= holds[at]
+    found: dict[int, bool] = {}
+    for node, has, inside in zip(tree, holds, within):
+        container = node.tag in CONTAINERS
+        if has or not (container or node.tag in BLOCK and not content and node.tag not in ("html", "body")):
+            continue
+        strict = inside or not container
+        found[node.digest] = found.get(node.digest, False) or strict
+        if container and not inside and node.is_linked():
+            found.setdefault(node.shape, False)
+    whole = xxhash.xxh64_intdigest(" ".join(content).encode()) - (1 << 63) if content else tree[0].digest
+    return list(found.items()), whole
 
 
 def unwanted(node: Node) -> bool:
@@ -149,6 +200,7 @@ def is_header(node: Node) -> bool:
 
 def blocks(top: Node, dead: frozenset[int]) -> list[str]:
     """Texts of the blocks below, in page order."""
+    inside = top.tag in ("article", "main")
     out: list[str] = []
     held: list[str] = []
 
@@ -165,7 +217,7 @@ def blocks(top: Node, dead: frozenset[int]) -> list[str]:
             flush()
         elif isinstance(item, str):
             held.append(item)
-        elif item is not top and (unwanted(item) or item.digest in dead):
+        elif item is not top and (unwanted(item) or item.digest in dead or not inside and item.shape in dead and item.is_linked()):
             if item.tag in BLOCK:
                 flush()
         elif item.tag == "br":
@@ -183,7 +235,7 @@ def blocks(top: Node, dead: frozenset[int]) -> list[str]:
 
 
 def main_text(source: str | None, templates: list[int] | None = None) -> str:
-    """Blocks of the article joined by newlines; of several articles that stand side by side the longest is read."""
+    """Blocks of the article joined by newlines; several articles that stand side by side follow each other."""
     if not source:
         return ""
     dead = frozenset(templates or ())
@@ -199,8 +251,7 @@ def main_text(source: str | None, templates: list[int] | None = None) -> str:
                 todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
         if found:
             break
-    texts = ["\n".join(blocks(n, dead)) for n in found or [root]]
-    return max(texts, key=len)
+    return "\n".join(block for n in found or [root] for block in blocks(n, dead))
 
 
 def host(url: str) -> Column:
@@ -209,29 +260,40 @@ def host(url: str) -> Column:
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(site, digest): subtrees of `pages` (site long, html) that recur across many pages of their site."""
+    """(site, digest): subtrees of `pages` (site long, html) that recur with many contents of their site."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        found = [subtree_hashes(h) if h else [] for h in batch.column(1).to_pylist()]
-        site = [s for s, hs in zip(batch.column(0).to_pylist(), found) for _ in hs]
-        return pa.table({"site": pa.array(site, pa.int64()), "digest": pa.array([h for hs in found for h in hs], pa.int64())})
-
-    each = map_batches(pages.select("site", "html"), run, "site long, digest long")
-    many = each.groupBy("site", "digest").agg(F.count("*").alias("on_pages")).where(F.col("on_pages") >= TEMPLATE_PAGES)
-    sites = pages.groupBy("site").agg(F.count("*").alias("pages"))
-    return many.join(sites, "site").where(F.col("on_pages") >= F.col("pages") * TEMPLATE_SHARE).select("site", "digest")
+        site, digest, strict, content = [], [], [], []
+        for s, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found, whole = subtree_hashes(source) if source else ([], 0)
+            # One row more stands for the content itself, so that a site's contents can be counted.
+            for d, inside in [*found, (None, False)]:
+                site.append(s)
+                digest.append(d)
+                strict.append(inside)
+                content.append(whole)
+        return pa.table({"site": pa.array(site, pa.int64()), "digest": pa.array(digest, pa.int64()), "strict": pa.array(strict, pa.bool_()), "content": pa.array(content, pa.int64())})
+
+    each = map_batches(pages.select("site", "html"), run, "site long, digest long, strict boolean, content long")
+    once = each.groupBy("site", "digest", "content").agg(F.max("strict").alias("strict"))
+    counted = once.groupBy("site", "digest").agg(F.count("*").alias("contents"), F.max("strict").alias("strict"))
+    many = counted.where(F.col("digest").isNull() | (F.col("contents") >= TEMPLATE_PAGES))
+    of_site = F.max(F.when(F.col("digest").isNull(), F.col("contents")))
+    sites = many.groupBy("site").agg(of_site.alias("all_contents"))
+    share = F.when(F.col("strict"), INSIDE_SHARE).otherwise(OUTSIDE_SHARE)
+    return many.where("digest IS NOT NULL").join(sites, "site").where(F.col("contents") >= F.col("all_contents") * share).select("site", "digest")
 
 
 def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """`pages` without `source`, with `text`: its main text (empty for null, empty or textless pages).
 
-    Columns named `text` or `__site` that `pages` brings are replaced. Repeated rows count as pages of their host
-    and get the same text. Pages without a host share one. No rows give no rows.
+    Columns named `text` or `__site` that `pages` brings are replaced. Repeated rows, and pages of the same content, count
+    once and get the same text. Pages without a host share one. No rows give no rows.
     """
     scratch = Scratch(pages.sparkSession, "html")
     sited = pages.drop("text", "__site").withColumn("__site", F.xxhash64(host(url)))
     found = site_templates(sited.select(F.col("__site").alias("site"), F.col(source).alias("html")))
-    # A site's templates go to its pages as one list; few sites have any, so Spark mostly finds this table small.
+    # A site's templates go to its pages as one list, no longer than a page's subtrees by the smaller share.
     lists = scratch.write(found.groupBy("site").agg(F.collect_list("digest").alias("templates")), "templates")
     joined = sited.join(lists.select(F.col("site").alias("__site"), "templates"), "__site", "left")
     kept = [c for c in sited.columns if c not in (source, "__site")]

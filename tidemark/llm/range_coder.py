@@ -100,7 +100,9 @@ class _Model:
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block (ids below 65536, BLOCK of them at most) as bytes."""
+    """Each block (BLOCK ids at most) as bytes. Raises ValueError for an id that has more than 16 bits."""
+    if any(len(b) and (b.min() < 0 or b.max() > 65535) for b in blocks):
+        raise ValueError("an id has more than 16 bits")
     order = sorted(range(len(blocks)), key=lambda n: -len(blocks[n]))
     lengths = np.array([len(blocks[n]) for n in order])
     lanes, longest = len(order), int(lengths.max(initial=0))
