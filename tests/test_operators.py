@@ -148,3 +148,35 @@ def test_manifest(spark):
     known = spark.createDataFrame([("a", 1, 5, "x"), ("b", 1, 5, "o"), ("d", 1, 5, "w"), ("e", 1, 5, "p")], kind)
     got = {r.path: r.state for r in feeds.manifest_states(now, known).collect()}
     assert got == {"a": "SUCCESS", "b": "CHANGED_REQUIRES_REBUILD", "c": "NEW", "d": "MISSING", "e": "WAITING_FOR_STABLE_FILE"}
+
+
+def test_runtime_target_matches_brute_force(spark):
+    from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+
+    from tidemark.functions import verdicts as V
+
+    rng = random.Random(9)
+    rows = [(rng.choice([1, -1]), rng.choice(["GOD", "CHILL"]), round(rng.uniform(50, 60), 2), round(rng.uniform(0.2, 3), 2), round(rng.uniform(0.2, 2), 3), round(rng.uniform(45, 65), 2)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "way int, class string, entry double, risk double, atr double, obstacle double")
+    c = F.col
+    target, reason = V.runtime_target(c("way"), c("class"), c("entry"), c("entry") - c("way") * c("risk"), c("atr"), c("obstacle"))
+    got = df.select(F.round(target, 2).alias("t"), reason.alias("r")).collect()
+    grid = lambda x, up: x.quantize(Decimal("0.01"), ROUND_CEILING if up else ROUND_FLOOR)
+    for (way, kind, entry, risk, atr, obstacle), g in zip(rows, got):
+        entry, risk, atr, obstacle = (Decimal(str(x)) for x in (entry, risk, atr, obstacle))
+        base = grid(entry + way * Decimal("0.75" if kind == "CHILL" else "1.25") * risk, way > 0)
+        near = grid(obstacle - way * Decimal("0.2") * atr, way < 0)
+        cut = kind == "GOD" and way * (obstacle - entry) > 0 and way * (base - obstacle) >= 0 and way * (near - entry) > 0 and way * (base - near) > 0
+        assert Decimal(str(g.t)) == (near if cut else base) and g.r == ("CHILL_FIXED" if kind == "CHILL" else "GOD_OBSTACLE" if cut else "GOD_BASELINE")
+
+
+def test_contracts_and_provenance_fail_closed(spark):
+    from tidemark.functions import verdicts as V
+    from tidemark.operators import reports as R
+
+    df = spark.createDataFrame([(1, "CLOSED_M1_ONLY"), (2, "LIVE")], "x int, p string")
+    assert R.enforce(df, {"positive": F.col("x") > 0}).count() == 2
+    with pytest.raises(Exception, match="contract broken: small"):
+        R.enforce(df, {"positive": F.col("x") > 0, "small": F.col("x") < 2}).collect()
+    with pytest.raises(Exception, match="not causal: LIVE"):
+        df.select(V.causal(F.col("p"), F.col("x"))).collect()
