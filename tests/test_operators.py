@@ -1,6 +1,7 @@
 """Operators against small cases worked out by hand, and causality: later rows change nothing that was known before."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
