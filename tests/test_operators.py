@@ -181,3 +181,21 @@ def test_contracts_and_provenance_fail_closed(spark):
         R.enforce(df, {"positive": F.col("x") > 0, "small": F.col("x") < 2}).collect()
     with pytest.raises(Exception, match="not causal: LIVE"):
         df.select(V.causal(F.col("p"), F.col("x"))).collect()
+
+
+def test_each_tick_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("<DATE>\t<TIME>\t<BID>\t<ASK>\t<FLAGS>\n2025.01.02\t10:00:00.000\t10.0\t10.2\tBID\n2025.01.02\t10:00:01.000\tx\t10.2\t6\n")
+    (tmp_path / "b.csv").write_text("Symbol;Ask;Bid;Date;Time\nBIDU;11.2;11.0;2025.01.02;10:00:02.000\n")
+    (tmp_path / "c.csv").write_text("2025.01.02,10:00:00.000,1,2\n")
+    got = {(r.symbol, r.bid, r.ask, r.fault) for r in feeds.read_ticks(spark, f"file://{tmp_path}", "S").collect()}
+    assert got == {("S", 10.0, 10.2, None), ("S", None, 10.2, "bid_or_ask"), ("BIDU", 11.0, 11.2, None), ("S", None, None, "header")}
+
+
+def test_json_faults_files_and_reports(spark, tmp_path):
+    texts = ['{"a": 1}', '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1e999}', "[1]", "{", None, '{"a": {"b": 1, "b": 1}}']
+    got = [r.fault for r in feeds.json_faults(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()]
+    assert got == [None, "duplicate_key", "not_finite", "not_finite", "not_an_object", "malformed", "malformed", "duplicate_key"]
+    feeds.write_report(spark.createDataFrame([(2, "b"), (1, None)], "k int, v string"), f"file://{tmp_path}/report", ["k"])
+    assert [r.k for r in spark.read.option("header", True).option("inferSchema", True).csv(f"file://{tmp_path}/report").collect()] == [1, 2]
+    found = feeds.discover(spark, f"file://{tmp_path}", "*.csv").collect()
+    assert found and all(r.bytes > 0 and r.path.endswith(".csv") for r in found)

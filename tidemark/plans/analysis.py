@@ -430,7 +430,10 @@ def latest_by_key_snapshot(s, d):
 
 
 def _scratch(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def drop():
