@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, documents, lower_ascii, whole_text
+from tidemark.llm.common import Scratch, documents, lower_ascii, small, whole_text
 
 #: The columns this module adds; their names are free of those that documents may bring.
 DIGEST = "text_sha256"
@@ -89,10 +89,10 @@ def drop_copies(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
 
     Of rows that repeat one id and text, one stays.
     """
-    tagged = docs.withColumn("__digest", F.sha2(lower_ascii(whole_text()), 256))
-    found = exact_dedup(docs, index, batch, id_col)
-    dropped = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col(DIGEST).alias("__key")).distinct()
-    kept = tagged.join(dropped, tagged[id_col].eqNullSafe(dropped["__id"]) & (tagged["__digest"] == dropped["__key"]), "left_anti")
+    tagged, scratch = docs.withColumn("__digest", F.sha2(lower_ascii(whole_text()), 256)), Scratch(docs.sparkSession, "drop-copies")
+    found = scratch.write(exact_dedup(docs, index, batch, id_col).select("doc_id", "kept", DIGEST), "found")
+    dropped = scratch.write(found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col(DIGEST).alias("__key")).distinct(), "dropped")
+    kept = tagged.join(small(dropped), tagged[id_col].eqNullSafe(dropped["__id"]) & (tagged["__digest"] == dropped["__key"]), "left_anti")
     if not found.groupBy("doc_id", DIGEST).count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, "__digest"])
     return kept.drop("__digest")
