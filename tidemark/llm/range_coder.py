@@ -4,10 +4,12 @@ A block's model starts empty and works on slots: ids numbered in the order in wh
 each id, an order-2 and an order-1 table give a predicted slot with a confidence. Two adaptive distributions over
 (order-2 slot right, order-1 slot right, seen before, new), one chosen by the confidences and one by the last
 outcomes, are mixed with a weight that follows the better of them; the mixture drives the range coder. An id that
-was seen but not predicted is coded by its order-0 frequency in the block (a group of slots, then the slot in the
-group), a new one by 16 even bits. All arithmetic is on integers, so what one machine codes any other decodes.
+was seen but not predicted is coded by its order-0 frequency in the block, whose sums are renewed at growing distances
+(slots that are younger than the sums count once), a new one by 16 even bits. All arithmetic is on integers, or on
+doubles where these are exact, so what one machine codes any other decodes.
 
-Blocks are independent; numpy codes the same place of many blocks at once.
+Blocks are independent; numpy codes the same place of many blocks at once. The four shares of a distribution are 16-bit
+fields of one 64-bit number, the two tables and the two distributions are rows of one array.
 """
 
 from __future__ import annotations
@@ -15,88 +17,139 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 2048
-#: Slots come in groups of this size for order-0 counts.
-GROUP = 32
-GROUPS = BLOCK // GROUP
-NONE = (1 << 16) - 1
-_BOTTOM = 1 << 16
-_MASK = 0xFFFFFFFF
-_SHARE_BITS = 14
-_TOTAL = (1 << _SHARE_BITS) + 4
+#: The coder's low end and range have 48 bits and are held in doubles, which are exact there; words of 16 bits go out.
+_RANGE, _BOTTOM, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
+#: A table's entry is a slot and, from this bit on, how sure it is: 1 to 3; an empty one is 0 and guesses slot 0.
+_SURE = BLOCK
 _CONTEXTS = 32
+#: A share loses 1 / 2^_RATE of itself with each id, the outcome's share gains _GAIN; weights are of _WEIGHTS.
+_RATE, _GAIN, _WEIGHTS = 5, 120, 8
+_ONES = np.uint64(0x0001000100010001)
+_DECAY = np.uint64(((1 << 16 - _RATE) - 1) * 0x0001000100010001)
+_FIELD = np.uint64(0xFFFF)
+#: The gain and the place of each outcome's field.
+_GAINS = np.array([_GAIN << 16 * o for o in range(4)], np.uint64)
+_PLACES = np.array([16 * o for o in range(4)], np.uint64)
+#: The outcome by 2 * (order-2 right) + (order-1 right).
+_OUTCOMES = np.array([2, 1, 0, 0])
 
 
 class _Model:
     """The models of the lanes, one block each; all methods work on the first k lanes."""
 
     def __init__(self, lanes: int):
-        self.order1 = np.full(lanes * BLOCK, NONE, np.int32)
-        self.order2 = np.full(lanes * BLOCK, NONE, np.int32)
-        self.groups = np.zeros((lanes, GROUPS), np.int32)
-        self.counts = np.zeros((lanes * GROUPS, GROUP), np.int32)
-        even = 1 << (_SHARE_BITS - 2)
-        self.by_table = np.full((lanes * _CONTEXTS, 4), even, np.int32)
-        self.by_past = np.full((lanes * _CONTEXTS, 4), even, np.int32)
-        self.weight = np.full((lanes, 1), 32, np.int32)
+        self.tables = np.zeros(2 * lanes * BLOCK, np.int16)
+        self.shares = np.full(2 * lanes * _CONTEXTS, _ONES * np.uint64(_GAIN * 2), np.uint64)
+        self.weight = np.full(lanes, _WEIGHTS * 8, np.int64)
+        self.own = np.arange(lanes) * BLOCK
+        # Places in the tables and in the distributions: order-2 and confidences first, order-1 and past second.
+        self.at = np.stack([self.own, self.own + lanes * BLOCK])
+        self.table_base = self.at.copy()
+        self.share_base = np.arange(2 * lanes).reshape(2, lanes) * _CONTEXTS
+        self.share_at = self.share_base.copy()
         self.past = np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.mark = np.zeros(lanes, np.int64)
         self.slots = np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
-        self.own = self.lane * BLOCK
-        self.context = self.lane * _CONTEXTS
+        self.counts = np.zeros((lanes, BLOCK), np.int16)
+        self.flat = self.counts.reshape(-1)
+        # Order-0 sums of the places before `summed`, for the slots below `old`.
+        self.sums = np.zeros((lanes, BLOCK + 1), np.int16)
+        self.old = np.zeros(lanes, np.int64)
+        self.summed, self.renew = 0, 16
+
+    def renewed(self, k: int, t: int) -> bool:
+        """Renews the order-0 sums if it is time: with growing distances, so that all renewals take linear time."""
+        if t < self.renew:
+            return False
+        n = int(self.slots[:k].max(initial=0))
+        np.cumsum(self.counts[:k, :n], axis=1, out=self.sums[:k, 1 : n + 1])
+        self.old[:k] = self.slots[:k]
+        self.summed, self.renew = t, t + max(16, t // 5)
+        return True
 
     def predict(self, k: int) -> None:
-        self.at1 = self.own[:k] + self.last[:k]
-        self.at2 = self.own[:k] + ((self.last[:k] * 2654435761 + self.before[:k] * 40503) >> 7) % BLOCK
-        self.entry1, self.entry2 = self.order1[self.at1], self.order2[self.at2]
-        self.guess1, self.guess2 = self.entry1 & NONE, self.entry2 & NONE
-        # Confidence 0 to 3: 3 for an empty entry, whose slot is NONE.
-        level1 = np.where(self.guess1 == NONE, 3, np.minimum(self.entry1 >> 16, 2))
-        level2 = np.where(self.guess2 == NONE, 3, np.minimum(self.entry2 >> 16, 2))
-        self.at_a = self.context[:k] + level2 * 8 + level1 * 2 + (self.guess1 == self.guess2)
-        self.at_b = self.context[:k] + self.past[:k] * 2 + (self.slots[:k] > 256)
-        self.a, self.b = self.by_table[self.at_a], self.by_past[self.at_b]
-        # At least 1 for each outcome; the four add up to _TOTAL.
-        mixed = self.a - self.b
-        mixed *= self.weight[:k]
-        mixed >>= 6
-        mixed += self.b
-        mixed += 1
-        self.mixed, self.sums = mixed, np.cumsum(mixed[:, :3], axis=1)
-        mixed[:, 3] = _TOTAL - self.sums[:, 2]
-
-    def interval(self, k: int, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = self.mixed[self.lane[:k], outcome]
-        start = np.where(outcome > 0, self.sums[self.lane[:k], np.maximum(outcome - 1, 0)], 0)
+        self.entry = self.tables[self.at[:, :k]]
+        self.guess = self.entry & BLOCK - 1
+        sure = self.entry >> 11
+        context = sure[0] << 3
+        context += sure[1] << 1
+        context += self.guess[0] == self.guess[1]
+        at = self.share_at[:, :k]
+        np.add(self.share_base[0, :k], context.astype(np.int64), out=at[0])
+        np.add(self.share_base[1, :k], self.past[:k], out=at[1])
+        self.pair = self.shares[at]
+        first = (self.weight[:k] >> 4).view(np.uint64)
+        # At least 1 for each outcome.
+        self.mixed = self.pair[0] * first
+        self.mixed += self.pair[1] * (np.uint64(_WEIGHTS) - first)
+        self.mixed += _ONES
+        self.upto = self.mixed * _ONES
+        self.total = (self.upto >> np.uint64(48)).view(np.int64)
+
+    def order0(self, lane: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order-0 interval of a slot that has been seen."""
+        at, sums, old = lane * (BLOCK + 1) + slot, self.sums.reshape(-1), self.old[lane]
+        start, young = sums[at].astype(np.int64), slot >= old
+        share = sums[at + 1] - start
+        where = np.flatnonzero(young)
+        start[where], share[where] = self.summed + slot[where] - old[where], 1
         return start, share
 
+    def interval(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.place = _PLACES[outcome]
+        end = (self.upto >> self.place & _FIELD).view(np.int64)
+        share = (self.mixed >> self.place & _FIELD).view(np.int64)
+        return end - share, share
+
     def learn(self, k: int, outcome: np.ndarray, slot: np.ndarray) -> None:
-        lane = self.lane[:k]
-        better = self.a[lane, outcome] - self.b[lane, outcome]
-        weight = self.weight[:k, 0]
-        weight += np.sign(better)
-        np.clip(weight, 4, 60, out=weight)
-        goal = np.ones((k, 4), np.int32)
-        goal[lane, outcome] = (1 << _SHARE_BITS) - 3
-        for shares, at, old in ((self.by_table, self.at_a, self.a), (self.by_past, self.at_b, self.b)):
-            new = goal - old
-            new >>= 4
-            new += old
-            new[:, 3] = (1 << _SHARE_BITS) - new[:, 0] - new[:, 1] - new[:, 2]
-            shares[at] = new
-        for table, at, entry, guess in ((self.order1, self.at1, self.entry1, self.guess1), (self.order2, self.at2, self.entry2, self.guess2)):
-            # Right: surer, up to 3. Wrong: less sure, or replaced where it was not sure at all.
-            right = guess == slot
-            kept = np.where(right, np.minimum(entry + 65536, 196608 | guess), np.where((entry >> 16 > 0) & (guess != NONE), entry - 65536, slot))
-            table[at] = kept
-        self.past[:k] = (self.past[:k] << 2 | outcome) & 15
+        pair = self.pair
+        had = (pair >> self.place & _FIELD).view(np.int64)
+        weight = self.weight[:k]
+        weight += np.sign(had[0] - had[1])
+        np.maximum(weight, 16, out=weight)
+        np.minimum(weight, _WEIGHTS * 16 - 16, out=weight)
+        pair = pair - (pair >> np.uint64(_RATE) & _DECAY)
+        pair += _GAINS[outcome]
+        self.shares[self.share_at[:, :k]] = pair
+        # Right: surer, up to 3. Wrong: less sure, or replaced where it was not sure.
+        small = slot.astype(np.int16)
+        entry = self.entry
+        right = np.minimum(entry + _SURE, small + 3 * _SURE)
+        wrong = np.where(entry >= 2 * _SURE, entry - _SURE, small + _SURE)
+        self.tables[self.at[:, :k]] = np.where(self.guess == small, right, wrong)
+        past = self.past[:k]
+        past <<= 2
+        past += outcome
+        past &= 31
         self.slots[:k] += outcome == 3
-        self.before[:k] = self.last[:k]
-        self.last[:k] = slot
-        group = slot // GROUP
-        self.groups[lane, group] += 1
-        self.counts[lane * GROUPS + group, slot % GROUP] += 1
+        at, base = self.at[:, :k], self.table_base[:, :k]
+        mark = slot * 40503
+        np.add(mark, self.mark[:k] * 29, out=at[0])
+        at[0] >>= 3
+        at[0] &= BLOCK - 1
+        at[0] += base[0]
+        self.mark[:k] = mark
+        np.add(slot, base[1], out=at[1])
+        self.flat[self.own[:k] + slot] += 1
+
+
+def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each id of each row (BLOCK columns at most), and whether it stands there for the first time in its row."""
+    lanes, width = ids.shape
+    keys = np.sort(ids.astype(np.int32) << 11 | np.arange(width, dtype=np.int32), axis=1)
+    starts = np.ones((lanes, width), bool)
+    np.greater(keys[:, 1:] ^ keys[:, :-1], BLOCK - 1, out=starts[:, 1:])
+    keys &= BLOCK - 1
+    keys += np.arange(lanes, dtype=np.int32)[:, None] * np.int32(width)
+    # In the order of ids, the first place of a run is that of its id.
+    place, heads = keys.ravel().astype(np.int64), np.flatnonzero(starts)
+    heads_place = place[heads]
+    first = np.zeros(lanes * width, bool)
+    first[heads_place] = True
+    rank = np.cumsum(first.reshape(lanes, width), axis=1, dtype=np.int16) - np.int16(1)
+    slots = np.empty(lanes * width, np.int16)
+    slots[place] = np.repeat(rank.ravel()[heads_place], np.diff(heads, append=lanes * width))
+    return slots.reshape(lanes, width), first.reshape(lanes, width)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -106,64 +159,68 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda n: -len(blocks[n]))
     lengths = np.array([len(blocks[n]) for n in order])
     lanes, longest = len(order), int(lengths.max(initial=0))
-    slots, ids, first = np.zeros((lanes, longest), np.int64), np.zeros((lanes, longest), np.int64), np.zeros((lanes, longest), bool)
+    rows = np.full((lanes, longest), 65535, np.int64)
     for row, n in enumerate(order):
-        block = blocks[n]
-        _, where, back = np.unique(block, return_index=True, return_inverse=True)
-        rank = np.empty(len(where), np.int64)
-        rank[np.argsort(where)] = np.arange(len(where))
-        slots[row, : len(block)], ids[row, : len(block)], first[row, where] = rank[back], block, True
-    slots, ids, first = (np.ascontiguousarray(x.T) for x in (slots, ids, first))
+        rows[row, : len(blocks[n])] = blocks[n]
+    slots, first = numbered(rows)
+    slots, first, ids = slots.T.astype(np.int64, order="C"), np.ascontiguousarray(first.T).astype(np.int64) * 3, np.ascontiguousarray(rows.T)
     model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
+    low, rng = np.zeros(lanes), np.full(lanes, _RANGE - 1)
     # 16-bit words; the first takes a carry out of the top.
     width = longest * 3 + 8
     out, used = np.zeros(lanes * width, np.int32), np.ones(lanes, np.int64)
     base = np.arange(lanes) * width
 
-    def put(lane: np.ndarray, start: np.ndarray, share: np.ndarray, total: np.ndarray | int) -> None:
-        part = rng[lane] // total
-        at, size = low[lane] + part * start, part * share
-        over = np.flatnonzero(at > _MASK)
+    def renorm(at: np.ndarray, size: np.ndarray) -> None:
+        over = np.flatnonzero(at >= _RANGE)
         if len(over):
-            at[over] &= _MASK
-            who = lane[over]
-            back = base[who] + used[who] - 1
+            at[over] -= _RANGE
+            back = base[over] + used[over] - 1
             while len(back):  # the carry runs through words of all ones
                 out[back] += 1
                 back = back[out[back] > 65535]
                 out[back] = 0
                 back = back - 1
-        go = np.flatnonzero(size < _BOTTOM)
-        if len(go):
-            who = lane[go]
-            out[base[who] + used[who]] = at[go] >> 16
+        who = np.flatnonzero(size < _BOTTOM)
+        while len(who):
+            some = at[who]
+            word = np.floor(some * (1 / _BOTTOM))
+            out[base[who] + used[who]] = word
             used[who] += 1
-            at[go] = at[go] << 16 & _MASK
-            size[go] <<= 16
-        low[lane], rng[lane] = at, size
+            at[who] = (some - word * _BOTTOM) * _WORD
+            grown = size[who] * _WORD
+            size[who] = grown
+            who = who[grown < _BOTTOM]
 
+    k, plain = lanes, bool(lanes) and int(lengths.min()) == longest
     for t in range(longest):
-        k = int(np.searchsorted(-lengths, -t, side="left"))
+        if not plain:
+            k = int(np.searchsorted(-lengths, -t, side="left"))
         slot = slots[t, :k]
+        model.renewed(k, t)
         model.predict(k)
-        outcome = np.where(slot == model.guess2, 0, np.where(slot == model.guess1, 1, np.where(first[t, :k], 3, 2)))
-        put(model.lane[:k], *model.interval(k, outcome), _TOTAL)
-        seen = np.flatnonzero(outcome == 2)
+        right = model.guess == slot
+        outcome = _OUTCOMES[right[0] * 2 + right[1]]
+        outcome |= first[t, :k]
+        start, share = model.interval(outcome)
+        part = np.floor(rng[:k] / model.total)
+        at, size = low[:k], rng[:k]
+        at += part * start
+        np.multiply(part, share, out=size)
+        seen, new = np.flatnonzero(outcome == 2), np.flatnonzero(outcome == 3)
         if len(seen):
-            mine = slot[seen]
-            group, inner = mine // GROUP, mine % GROUP
-            counts = model.groups[seen]
-            total = counts[np.arange(len(seen)), group]
-            put(seen, (counts * (np.arange(GROUPS) < group[:, None])).sum(1), total, t)
-            counts = model.counts[seen * GROUPS + group]
-            put(seen, (counts * (np.arange(GROUP) < inner[:, None])).sum(1), counts[np.arange(len(seen)), inner], total)
-        new = np.flatnonzero(outcome == 3)
+            start, share = model.order0(seen, slot[seen])
+            part = np.floor(size[seen] / (model.summed + model.slots[seen] - model.old[seen]))
+            at[seen] += part * start
+            size[seen] = part * share
         if len(new):
-            put(new, ids[t, new], 1, 1 << 16)
+            part = np.floor(size[new] * (1 / _WORD))
+            at[new] += part * ids[t, new]
+            size[new] = part
+        renorm(at, size)
         model.learn(k, outcome, slot)
-    for shift in (16, 0):
-        out[base + used] = low >> shift & 65535
+    for shift in (32, 16, 0):
+        out[base + used] = low.astype(np.int64) >> shift & 65535
         used += 1
     done: list[bytes] = [b""] * lanes
     words = out.astype("<u2").reshape(lanes, width)
@@ -181,60 +238,67 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     data = np.zeros((lanes, width), np.int64)
     for row, n in enumerate(order):
         data[row, : len(coded[n]) // 2] = np.frombuffer(coded[n][: len(coded[n]) // 2 * 2], "<u2")
-    code = (data[:, 0] << 32 | data[:, 1] << 16 | data[:, 2]) & ((1 << 48) - 1)
-    data, base, used = data.ravel(), np.arange(lanes) * width, np.full(lanes, 3, np.int64)
+    code = (data[:, 1] << 32 | data[:, 2] << 16 | data[:, 3]).astype(np.float64)
+    data, base, used = data.ravel(), np.arange(lanes) * width, np.full(lanes, 4, np.int64)
     model, ids = _Model(lanes), np.zeros((longest, lanes), np.int64)
-    rng, names = np.full(lanes, _MASK, np.int64), np.zeros(lanes * BLOCK, np.int64)
-
-    def value(lane: np.ndarray, total: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        part = rng[lane] // total
-        return part, np.minimum(code[lane] // part, total - 1)
-
-    def take(lane: np.ndarray, part: np.ndarray, start: np.ndarray, share: np.ndarray | int) -> None:
-        at, size = code[lane] - part * start, part * share
-        go = np.flatnonzero(size < _BOTTOM)
-        if len(go):
-            who = lane[go]
-            at[go] = (at[go] << 16 | data[base[who] + np.minimum(used[who], width - 1)]) & _MASK
-            used[who] += 1
-            size[go] = np.maximum(size[go], 1) << 16
-        code[lane], rng[lane] = at, size
+    rng, names = np.full(lanes, _RANGE - 1), np.zeros(lanes * BLOCK, np.int64)
+    inverse = np.zeros((lanes, BLOCK), np.int16)
 
+    k, plain = lanes, bool(lanes) and int(sizes.min()) == longest
     for t in range(longest):
-        k = int(np.searchsorted(-sizes, -t, side="left"))
-        lane = model.lane[:k]
+        if not plain:
+            k = int(np.searchsorted(-sizes, -t, side="left"))
+        if model.renewed(k, t):
+            counts = model.counts[:k, : int(model.old[:k].max(initial=0))]
+            slots = np.broadcast_to(np.arange(counts.shape[1], dtype=np.int16), counts.shape)
+            inverse[:k, :t] = np.repeat(slots.ravel(), counts.ravel()).reshape(k, t)
         model.predict(k)
-        part, got = value(lane, _TOTAL)
-        outcome = (got[:, None] >= model.sums).sum(1)
-        take(lane, part, *model.interval(k, outcome))
-        slot = np.where(outcome == 0, model.guess2, model.guess1).astype(np.int64)
-        seen = np.flatnonzero(outcome == 2)
+        # In a sound block code stays below the range; in a damaged one all is clipped, so that it stays within bounds.
+        at, size = code[:k], rng[:k]
+        part = np.floor(size / model.total)
+        got = np.minimum(np.floor(at / part), model.total - 1)
+        upto, reached = model.upto, got.astype(np.uint64)
+        outcome = (reached >= upto & _FIELD).astype(np.int64)
+        outcome += reached >= upto >> _PLACES[1] & _FIELD
+        outcome += reached >= upto >> _PLACES[2] & _FIELD
+        start, share = model.interval(outcome)
+        at -= part * start
+        np.multiply(part, share, out=size)
+        slot = np.where(outcome == 0, model.guess[0], model.guess[1]).astype(np.int64)
+        seen, new = np.flatnonzero(outcome == 2), np.flatnonzero(outcome == 3)
         if len(seen):
-            part, got = value(seen, max(t, 1))
-            sums = np.cumsum(model.groups[seen], axis=1)
-            group = np.minimum((sums <= got[:, None]).sum(1), GROUPS - 1)
-            pick = np.arange(len(seen)), group
-            total = model.groups[seen, group]
-            take(seen, part, sums[pick] - total, total)
-            total = np.maximum(total, 1)
-            part, got = value(seen, total)
-            counts = model.counts[seen * GROUPS + group]
-            sums = np.cumsum(counts, axis=1)
-            inner = np.minimum((sums <= got[:, None]).sum(1), GROUP - 1)
-            pick = np.arange(len(seen)), inner
-            take(seen, part, sums[pick] - counts[pick], counts[pick])
-            slot[seen] = group * GROUP + inner
-        new = np.flatnonzero(outcome == 3)
+            total = np.maximum(model.summed + model.slots[seen] - model.old[seen], 1)
+            part = np.floor(size[seen] / total)
+            value = np.minimum(np.floor(at[seen] / part), total - 1).astype(np.int64)
+            mine = inverse[seen, np.minimum(value, BLOCK - 1)].astype(np.int64)
+            young = np.flatnonzero(value >= model.summed)
+            mine[young] = np.minimum(model.old[seen[young]] + value[young] - model.summed, BLOCK - 1)
+            start, share = model.order0(seen, mine)
+            at[seen] -= part * start
+            size[seen] = part * np.maximum(share, 1)
+            slot[seen] = mine
         if len(new):
-            part, got = value(new, 1 << 16)
-            take(new, part, got, 1)
+            part = np.floor(size[new] * (1 / _WORD))
+            value = np.minimum(np.floor(at[new] / part), 65535)
+            at[new] -= part * value
+            size[new] = part
             slot[new] = np.minimum(model.slots[new], BLOCK - 1)
-            names[new * BLOCK + slot[new]] = got
+            names[new * BLOCK + slot[new]] = value
+        np.maximum(at, 0, out=at)
+        np.minimum(at, size - 1, out=at)
+        who = np.flatnonzero(size < _BOTTOM)
+        while len(who):
+            at[who] = at[who] * _WORD + data[base[who] + np.minimum(used[who], width - 1)]
+            used[who] += 1
+            grown = size[who] * _WORD
+            size[who] = grown
+            who = who[grown < _BOTTOM]
         # A damaged block may give what no coder wrote; it stays within bounds, and its checksum tells.
         slot = np.minimum(slot, BLOCK - 1)
         ids[t, :k] = names[model.own[:k] + slot]
         model.learn(k, outcome, slot)
+    back = np.ascontiguousarray(ids.T)
     done: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for row, n in enumerate(order):
-        done[n] = ids[: sizes[row], row].copy()
+        done[n] = back[row, : sizes[row]]
     return done

@@ -12,12 +12,14 @@ blocks' bytes.
 
 from __future__ import annotations
 
-import re
+import json
+import string
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,12 +30,13 @@ from tidemark.llm.common import Scratch, documents, small_batches
 MAGIC = b"TMF1"
 #: A frame is closed by the document with which it has so many ids.
 FRAME_IDS = 2_000_000
-#: Words whose ids a task remembers.
-MEMORY = 300_000
+#: Words whose ids a worker remembers.
+MEMORY = 600_000
 END = 1
-#: What Python's split() takes for white space and the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Words of letters that are encoded as one text.
+JOINED = 200
+#: The pattern of a tokenizer that parts letters from other signs.
+PARTED = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class DamagedFrame(ValueError):
@@ -82,22 +85,107 @@ def unpack(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts with a tokenizer that lets white space go: words are encoded by themselves and remembered."""
+    """Encodes texts with a tokenizer that lets white space go: words are encoded by themselves and remembered.
+
+    Arrow splits at the six ASCII white-space characters and numbers the words; what other white space a word holds
+    the tokenizer splits itself. Where the tokenizer lower-cases, A-Z are lower-cased before. Where it parts letters
+    from other signs, a word that ends in punctuation is put together from two others, and words of letters are encoded
+    as one text, whose ids that end a word tell them apart.
+    """
 
     def __init__(self, data: str):
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+        settings = json.loads(data)
+        self.lower = '"Lowercase"' in json.dumps(settings.get("normalizer"))
+        self.parted = PARTED in json.dumps(settings.get("pre_tokenizer")).replace("\\\\", "\\")
+        suffix, vocabulary = settings["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        # Word n, numbered from 1, has sizes[n] ids from starts[n] on.
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these words, and how many stand before each word and after the last."""
+        sizes = self.sizes[numbers]
+        after = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=after[1:])
+        # Each word's ids start where those of the words before it stop.
+        return self.ids[np.repeat(self.starts[numbers] - after[:-1], sizes) + np.arange(after[-1])], after
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that are not known."""
+        stems = [w.rstrip(string.punctuation) for w in words] if self.parted else words
+        whole, cut = [], []
+        for word, stem in zip(words, stems):
+            if len(stem) < len(word) and stem and stem[-1].isalpha():
+                cut.append((word, stem, word[len(stem) :]))
+            else:
+                whole.append(word)
+        pieces = dict.fromkeys(whole)
+        pieces.update((p, None) for _, *both in cut for p in both if p not in self.known)
+        single, joined, found = [], [], []
+        for piece in pieces:
+            (joined if self.parted and piece.isalpha() else single).append(piece)
+        if joined:
+            groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+            for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(coded.ids, np.int64)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                # A word of letters has one end at least; so many ends as words are one each.
+                if len(stops) == len(group) and stops[-1] == len(ids):
+                    found.append((group, np.diff(stops, prepend=0), ids))
+                else:
+                    single += group
+        if single:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            found.append((single, sizes, np.fromiter((k for ids in coded for k in ids), np.int64, int(sizes.sum()))))
+        if found:
+            names, sizes, ids = zip(*found)
+            self.add([w for group in names for w in group], np.concatenate(sizes), np.concatenate(ids))
+        if cut:
+            ids, after = self.spell(np.array([self.known[p] for _, *both in cut for p in both], np.int64))
+            self.add([word for word, *_ in cut], np.diff(after[::2]), ids)
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text and all ids; `end` follows each text, a null text is an empty one."""
         if len(self.known) > MEMORY:
-            self.known = {}
-        words = [[] if not t else SPACE.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if new:
-            self.known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        get = self.known.__getitem__
-        return [[k for ids in map(get, ws) for k in ids] for ws in words]
+            self.forget()
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lower else texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        missing = [w for w in words if w not in self.known]
+        if missing:
+            self.learn(missing)
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids, after = self.spell(numbers[coded.indices.to_numpy()])
+        bounds = lists.offsets.to_numpy()
+        bounds = after[bounds - bounds[0]]
+        return np.diff(bounds) + 1, np.insert(ids, bounds[1:], np.uint32(end))
+
+
+_ENCODER: dict[str, Encoder] = {}
+
+
+def encoder(data: str) -> Encoder:
+    """The worker's encoder, kept over the tasks that the worker runs."""
+    if data not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[data] = Encoder(data)
+    return _ENCODER[data]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text: str = "text", end: int = END) -> None:
@@ -113,25 +201,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     def run(batches):
         from pyspark import TaskContext
 
-        encode, shard, seq = None, TaskContext.get().partitionId(), 0
+        shard, seq = TaskContext.get().partitionId(), 0
         doc_ids, counts, parts, size = [], [], [], 0
 
         def frame():
             nonlocal doc_ids, counts, parts, size, seq
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            ids = np.concatenate(parts)
             out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack(doc_ids, counts, ids)], pa.binary())], ["shard", "seq", "n_ids", "frame"])
             doc_ids, counts, parts, size, seq = [], [], [], 0, seq + 1
             return out
 
         for batch in batches:
-            encode = encode or Encoder(held.value)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids.append(end)
-                doc_ids.append(doc_id)
-                counts.append(len(ids))
-                parts.append(np.array(ids, np.int64))
-                size += len(ids)
+            n, ids = encoder(held.value)(batch.column(1), end)
+            ends = size + np.cumsum(n)
+            doc_list, done = batch.column(0).to_pylist(), 0
+            while done < len(doc_list):
+                # Up to the document with which the frame is full.
+                upto = min(int(np.searchsorted(ends, FRAME_IDS)) + 1, len(doc_list))
+                taken = int(n[done:upto].sum())
+                doc_ids += doc_list[done:upto]
+                counts += n[done:upto].tolist()
+                parts.append(ids[:taken])
+                ids, size, done = ids[taken:], size + taken, upto
                 if size >= FRAME_IDS:
+                    ends -= size
                     yield frame()
         if doc_ids:
             yield frame()
