@@ -52,10 +52,12 @@ class _Model:
         self.slots = np.zeros(lanes, np.int64)
         self.counts = np.zeros((lanes, BLOCK), np.int16)
         self.flat = self.counts.reshape(-1)
-        # Order-0 sums of the places before `summed`, for the slots below `old`.
+        # Order-0 sums up to each slot: of the places when they were renewed, and one for each slot since then.
         self.sums = np.zeros((lanes, BLOCK + 1), np.int16)
-        self.old = np.zeros(lanes, np.int64)
-        self.summed, self.renew = 0, 16
+        self.reach = np.zeros(lanes, np.int64)
+        self.sums_own = np.arange(lanes) * (BLOCK + 1)
+        self.flat_sums = self.sums.reshape(-1)
+        self.renew = 16
 
     def renewed(self, k: int, t: int) -> bool:
         """Renews the order-0 sums if it is time: with growing distances, so that all renewals take linear time."""
@@ -63,8 +65,8 @@ class _Model:
             return False
         n = int(self.slots[:k].max(initial=0))
         np.cumsum(self.counts[:k, :n], axis=1, out=self.sums[:k, 1 : n + 1])
-        self.old[:k] = self.slots[:k]
-        self.summed, self.renew = t, t + max(16, t // 5)
+        self.reach[:k] = t
+        self.renew = t + max(16, t // 5)
         return True
 
     def predict(self, k: int) -> None:
@@ -86,15 +88,6 @@ class _Model:
         self.upto = self.mixed * _ONES
         self.total = (self.upto >> np.uint64(48)).view(np.int64)
 
-    def order0(self, lane: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order-0 interval of a slot that has been seen."""
-        at, sums, old = lane * (BLOCK + 1) + slot, self.sums.reshape(-1), self.old[lane]
-        start, young = sums[at].astype(np.int64), slot >= old
-        share = sums[at + 1] - start
-        where = np.flatnonzero(young)
-        start[where], share[where] = self.summed + slot[where] - old[where], 1
-        return start, share
-
     def interval(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.place = _PLACES[outcome]
         end = (self.upto >> self.place & _FIELD).view(np.int64)
@@ -121,7 +114,10 @@ class _Model:
         past <<= 2
         past += outcome
         past &= 31
-        self.slots[:k] += outcome == 3
+        new = np.flatnonzero(outcome == 3)
+        self.slots[new] += 1
+        self.reach[new] += 1
+        self.flat_sums[self.sums_own[new] + self.slots[new]] = self.reach[new]
         at, base = self.at[:, :k], self.table_base[:, :k]
         mark = slot * 40503
         np.add(mark, self.mark[:k] * 29, out=at[0])
@@ -166,9 +162,9 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     slots, first, ids = slots.T.astype(np.int64, order="C"), np.ascontiguousarray(first.T).astype(np.int64) * 3, np.ascontiguousarray(rows.T)
     model = _Model(lanes)
     low, rng = np.zeros(lanes), np.full(lanes, _RANGE - 1)
-    # 16-bit words; the first takes a carry out of the top.
-    width = longest * 3 + 8
-    out, used = np.zeros(lanes * width, np.int32), np.ones(lanes, np.int64)
+    # 16-bit words, two an id at most (shares are over 2^-16, new ids have 16 bits); the first takes a carry out of the top.
+    width = longest * 2 + 8
+    out, used = np.zeros(lanes * width, np.uint16), np.ones(lanes, np.int64)
     base = np.arange(lanes) * width
 
     def renorm(at: np.ndarray, size: np.ndarray) -> None:
@@ -177,10 +173,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             at[over] -= _RANGE
             back = base[over] + used[over] - 1
             while len(back):  # the carry runs through words of all ones
-                out[back] += 1
-                back = back[out[back] > 65535]
-                out[back] = 0
-                back = back - 1
+                out[back] += np.uint16(1)
+                back = back[out[back] == 0] - 1
         who = np.flatnonzero(size < _BOTTOM)
         while len(who):
             some = at[who]
@@ -207,23 +201,26 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         at, size = low[:k], rng[:k]
         at += part * start
         np.multiply(part, share, out=size)
-        seen, new = np.flatnonzero(outcome == 2), np.flatnonzero(outcome == 3)
-        if len(seen):
-            start, share = model.order0(seen, slot[seen])
-            part = np.floor(size[seen] / (model.summed + model.slots[seen] - model.old[seen]))
-            at[seen] += part * start
-            size[seen] = part * share
-        if len(new):
-            part = np.floor(size[new] * (1 / _WORD))
-            at[new] += part * ids[t, new]
-            size[new] = part
+        # The second step is empty where an order-2 or order-1 guess was right.
+        seen, new = outcome == 2, outcome == 3
+        place = model.sums_own[:k] + slot
+        start, share, total = np.zeros(k), np.ones(k), np.ones(k)
+        below = model.flat_sums[place]
+        np.copyto(start, below, where=seen)
+        np.copyto(share, model.flat_sums[place + 1] - below, where=seen)
+        np.copyto(total, model.reach[:k], where=seen)
+        np.copyto(start, ids[t, :k], where=new)
+        np.copyto(total, _WORD, where=new)
+        part = np.floor(size / total)
+        at += part * start
+        np.multiply(part, share, out=size)
         renorm(at, size)
         model.learn(k, outcome, slot)
     for shift in (32, 16, 0):
         out[base + used] = low.astype(np.int64) >> shift & 65535
         used += 1
     done: list[bytes] = [b""] * lanes
-    words = out.astype("<u2").reshape(lanes, width)
+    words = out.astype("<u2", copy=False).reshape(lanes, width)
     for row, n in enumerate(order):
         done[n] = words[row, : used[row]].tobytes()
     return done
@@ -242,16 +239,16 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     data, base, used = data.ravel(), np.arange(lanes) * width, np.full(lanes, 4, np.int64)
     model, ids = _Model(lanes), np.zeros((longest, lanes), np.int64)
     rng, names = np.full(lanes, _RANGE - 1), np.zeros(lanes * BLOCK, np.int64)
-    inverse = np.zeros((lanes, BLOCK), np.int16)
+    inverse = np.zeros(lanes * BLOCK, np.int16)
 
     k, plain = lanes, bool(lanes) and int(sizes.min()) == longest
     for t in range(longest):
         if not plain:
             k = int(np.searchsorted(-sizes, -t, side="left"))
         if model.renewed(k, t):
-            counts = model.counts[:k, : int(model.old[:k].max(initial=0))]
+            counts = model.counts[:k, : int(model.slots[:k].max(initial=0))]
             slots = np.broadcast_to(np.arange(counts.shape[1], dtype=np.int16), counts.shape)
-            inverse[:k, :t] = np.repeat(slots.ravel(), counts.ravel()).reshape(k, t)
+            inverse.reshape(-1, BLOCK)[:k, :t] = np.repeat(slots.ravel(), counts.ravel()).reshape(k, t)
         model.predict(k)
         # In a sound block code stays below the range; in a damaged one all is clipped, so that it stays within bounds.
         at, size = code[:k], rng[:k]
@@ -265,25 +262,25 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         at -= part * start
         np.multiply(part, share, out=size)
         slot = np.where(outcome == 0, model.guess[0], model.guess[1]).astype(np.int64)
-        seen, new = np.flatnonzero(outcome == 2), np.flatnonzero(outcome == 3)
-        if len(seen):
-            total = np.maximum(model.summed + model.slots[seen] - model.old[seen], 1)
-            part = np.floor(size[seen] / total)
-            value = np.minimum(np.floor(at[seen] / part), total - 1).astype(np.int64)
-            mine = inverse[seen, np.minimum(value, BLOCK - 1)].astype(np.int64)
-            young = np.flatnonzero(value >= model.summed)
-            mine[young] = np.minimum(model.old[seen[young]] + value[young] - model.summed, BLOCK - 1)
-            start, share = model.order0(seen, mine)
-            at[seen] -= part * start
-            size[seen] = part * np.maximum(share, 1)
-            slot[seen] = mine
-        if len(new):
-            part = np.floor(size[new] * (1 / _WORD))
-            value = np.minimum(np.floor(at[new] / part), 65535)
-            at[new] -= part * value
-            size[new] = part
-            slot[new] = np.minimum(model.slots[new], BLOCK - 1)
-            names[new * BLOCK + slot[new]] = value
+        seen, new = outcome == 2, outcome == 3
+        total = np.ones(k)
+        np.copyto(total, np.maximum(model.reach[:k], 1), where=seen)
+        np.copyto(total, _WORD, where=new)
+        part = np.floor(size / total)
+        start = np.minimum(np.floor(at / part), total - 1)
+        value = start.astype(np.int64)
+        mine = inverse[model.own[:k] + np.minimum(value, BLOCK - 1)]
+        np.copyto(slot, mine, where=seen)
+        place = model.sums_own[:k] + slot
+        below, share = model.flat_sums[place], np.ones(k)
+        np.copyto(start, below, where=seen)
+        np.copyto(share, np.maximum(model.flat_sums[place + 1] - below, 1), where=seen)
+        at -= part * start
+        np.multiply(part, share, out=size)
+        who = np.flatnonzero(new)
+        slot[who] = fresh = np.minimum(model.slots[who], BLOCK - 1)
+        names[model.own[who] + fresh] = value[who]
+        inverse[model.own[who] + np.minimum(model.reach[who], BLOCK - 1)] = fresh
         np.maximum(at, 0, out=at)
         np.minimum(at, size - 1, out=at)
         who = np.flatnonzero(size < _BOTTOM)
@@ -293,8 +290,6 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             grown = size[who] * _WORD
             size[who] = grown
             who = who[grown < _BOTTOM]
-        # A damaged block may give what no coder wrote; it stays within bounds, and its checksum tells.
-        slot = np.minimum(slot, BLOCK - 1)
         ids[t, :k] = names[model.own[:k] + slot]
         model.learn(k, outcome, slot)
     back = np.ascontiguousarray(ids.T)
