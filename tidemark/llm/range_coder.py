@@ -38,25 +38,24 @@ class _Model:
     """The models of the lanes, one block each; all methods work on the first k lanes."""
 
     def __init__(self, lanes: int):
-        self.tables = np.zeros(2 * lanes * BLOCK, np.int16)
+        # For each slot, side by side: the order-1 entry, how often it stood, the order-0 sum below it, its id (decoding);
+        # sums are of the places when they were renewed, and one for each slot since then. Then the order-2 entries.
+        size = lanes * (BLOCK + 1) * 4
+        self.tables = np.zeros(size + lanes * BLOCK, np.int16)
+        self.records = self.tables[:size].reshape(lanes, BLOCK + 1, 4)
+        self.names = self.tables.view(np.uint16)
         self.shares = np.full(2 * lanes * _CONTEXTS, _ONES * np.uint64(_GAIN * 2), np.uint64)
         self.weight = np.full(lanes, _WEIGHTS * 8, np.int64)
         self.own = np.arange(lanes) * BLOCK
         # Places in the tables and in the distributions: order-2 and confidences first, order-1 and past second.
-        self.at = np.stack([self.own, self.own + lanes * BLOCK])
-        self.table_base = self.at.copy()
+        self.table_base = np.stack([self.own + size, np.arange(lanes) * (BLOCK + 1) * 4])
+        self.at = self.table_base.copy()
         self.share_base = np.arange(2 * lanes).reshape(2, lanes) * _CONTEXTS
         self.share_at = self.share_base.copy()
         self.past = np.zeros(lanes, np.int64)
         self.mark = np.zeros(lanes, np.int64)
         self.slots = np.zeros(lanes, np.int64)
-        self.counts = np.zeros((lanes, BLOCK), np.int16)
-        self.flat = self.counts.reshape(-1)
-        # Order-0 sums up to each slot: of the places when they were renewed, and one for each slot since then.
-        self.sums = np.zeros((lanes, BLOCK + 1), np.int16)
         self.reach = np.zeros(lanes, np.int64)
-        self.sums_own = np.arange(lanes) * (BLOCK + 1)
-        self.flat_sums = self.sums.reshape(-1)
         self.renew = 16
 
     def renewed(self, k: int, t: int) -> bool:
@@ -64,7 +63,7 @@ class _Model:
         if t < self.renew:
             return False
         n = int(self.slots[:k].max(initial=0))
-        np.cumsum(self.counts[:k, :n], axis=1, out=self.sums[:k, 1 : n + 1])
+        np.cumsum(self.records[:k, :n, 1], axis=1, out=self.records[:k, 1 : n + 1, 2])
         self.reach[:k] = t
         self.renew = t + max(16, t // 5)
         return True
@@ -94,7 +93,12 @@ class _Model:
         share = (self.mixed >> self.place & _FIELD).view(np.int64)
         return end - share, share
 
-    def learn(self, k: int, outcome: np.ndarray, slot: np.ndarray) -> None:
+    def places(self, k: int, slot: np.ndarray) -> np.ndarray:
+        place = slot << 2
+        place += self.table_base[1, :k]
+        return place
+
+    def learn(self, k: int, outcome: np.ndarray, slot: np.ndarray, place: np.ndarray) -> None:
         pair = self.pair
         had = (pair >> self.place & _FIELD).view(np.int64)
         weight = self.weight[:k]
@@ -117,16 +121,16 @@ class _Model:
         new = np.flatnonzero(outcome == 3)
         self.slots[new] += 1
         self.reach[new] += 1
-        self.flat_sums[self.sums_own[new] + self.slots[new]] = self.reach[new]
-        at, base = self.at[:, :k], self.table_base[:, :k]
+        self.tables[place[new] + 6] = self.reach[new]
+        at = self.at[:, :k]
         mark = slot * 40503
         np.add(mark, self.mark[:k] * 29, out=at[0])
         at[0] >>= 3
         at[0] &= BLOCK - 1
-        at[0] += base[0]
+        at[0] += self.table_base[0, :k]
         self.mark[:k] = mark
-        np.add(slot, base[1], out=at[1])
-        self.flat[self.own[:k] + slot] += 1
+        at[1] = place
+        self.tables[place + 1] += 1
 
 
 def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +159,11 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda n: -len(blocks[n]))
     lengths = np.array([len(blocks[n]) for n in order])
     lanes, longest = len(order), int(lengths.max(initial=0))
-    rows = np.full((lanes, longest), 65535, np.int64)
+    rows = np.full((lanes, longest), 65535, np.uint16)
     for row, n in enumerate(order):
         rows[row, : len(blocks[n])] = blocks[n]
     slots, first = numbered(rows)
-    slots, first, ids = slots.T.astype(np.int64, order="C"), np.ascontiguousarray(first.T).astype(np.int64) * 3, np.ascontiguousarray(rows.T)
+    slots, first, ids = np.ascontiguousarray(slots.T), np.ascontiguousarray(first.T) * np.int16(3), np.ascontiguousarray(rows.T)
     model = _Model(lanes)
     low, rng = np.zeros(lanes), np.full(lanes, _RANGE - 1)
     # 16-bit words, two an id at most (shares are over 2^-16, new ids have 16 bits); the first takes a carry out of the top.
@@ -190,7 +194,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for t in range(longest):
         if not plain:
             k = int(np.searchsorted(-lengths, -t, side="left"))
-        slot = slots[t, :k]
+        slot = slots[t, :k].astype(np.int64)
         model.renewed(k, t)
         model.predict(k)
         right = model.guess == slot
@@ -203,11 +207,11 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         np.multiply(part, share, out=size)
         # The second step is empty where an order-2 or order-1 guess was right.
         seen, new = outcome == 2, outcome == 3
-        place = model.sums_own[:k] + slot
+        place = model.places(k, slot)
         start, share, total = np.zeros(k), np.ones(k), np.ones(k)
-        below = model.flat_sums[place]
+        below = model.tables[place + 2]
         np.copyto(start, below, where=seen)
-        np.copyto(share, model.flat_sums[place + 1] - below, where=seen)
+        np.copyto(share, model.tables[place + 6] - below, where=seen)
         np.copyto(total, model.reach[:k], where=seen)
         np.copyto(start, ids[t, :k], where=new)
         np.copyto(total, _WORD, where=new)
@@ -215,7 +219,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         at += part * start
         np.multiply(part, share, out=size)
         renorm(at, size)
-        model.learn(k, outcome, slot)
+        model.learn(k, outcome, slot, place)
     for shift in (32, 16, 0):
         out[base + used] = low.astype(np.int64) >> shift & 65535
         used += 1
@@ -232,13 +236,13 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     sizes = np.array([lengths[n] for n in order])
     lanes, longest = len(order), int(sizes.max(initial=0))
     width = max((len(c) // 2 for c in coded), default=0) + 4
-    data = np.zeros((lanes, width), np.int64)
+    data = np.zeros((lanes, width), np.uint16)
     for row, n in enumerate(order):
         data[row, : len(coded[n]) // 2] = np.frombuffer(coded[n][: len(coded[n]) // 2 * 2], "<u2")
-    code = (data[:, 1] << 32 | data[:, 2] << 16 | data[:, 3]).astype(np.float64)
+    code = data[:, 1:4] @ np.array([_BOTTOM, _WORD, 1.0])
     data, base, used = data.ravel(), np.arange(lanes) * width, np.full(lanes, 4, np.int64)
-    model, ids = _Model(lanes), np.zeros((longest, lanes), np.int64)
-    rng, names = np.full(lanes, _RANGE - 1), np.zeros(lanes * BLOCK, np.int64)
+    model, ids = _Model(lanes), np.zeros((longest, lanes), np.uint16)
+    rng = np.full(lanes, _RANGE - 1)
     inverse = np.zeros(lanes * BLOCK, np.int16)
 
     k, plain = lanes, bool(lanes) and int(sizes.min()) == longest
@@ -246,7 +250,7 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         if not plain:
             k = int(np.searchsorted(-sizes, -t, side="left"))
         if model.renewed(k, t):
-            counts = model.counts[:k, : int(model.slots[:k].max(initial=0))]
+            counts = model.records[:k, : int(model.slots[:k].max(initial=0)), 1]
             slots = np.broadcast_to(np.arange(counts.shape[1], dtype=np.int16), counts.shape)
             inverse.reshape(-1, BLOCK)[:k, :t] = np.repeat(slots.ravel(), counts.ravel()).reshape(k, t)
         model.predict(k)
@@ -271,15 +275,15 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         value = start.astype(np.int64)
         mine = inverse[model.own[:k] + np.minimum(value, BLOCK - 1)]
         np.copyto(slot, mine, where=seen)
-        place = model.sums_own[:k] + slot
-        below, share = model.flat_sums[place], np.ones(k)
+        who = np.flatnonzero(new)
+        slot[who] = fresh = np.minimum(model.slots[who], BLOCK - 1)
+        place = model.places(k, slot)
+        below, share = model.tables[place + 2], np.ones(k)
         np.copyto(start, below, where=seen)
-        np.copyto(share, np.maximum(model.flat_sums[place + 1] - below, 1), where=seen)
+        np.copyto(share, np.maximum(model.tables[place + 6] - below, 1), where=seen)
         at -= part * start
         np.multiply(part, share, out=size)
-        who = np.flatnonzero(new)
-        slot[who] = fresh = np.minimum(model.slots[who], BLOCK - 1)
-        names[model.own[who] + fresh] = value[who]
+        model.names[place[who] + 3] = value[who]
         inverse[model.own[who] + np.minimum(model.reach[who], BLOCK - 1)] = fresh
         np.maximum(at, 0, out=at)
         np.minimum(at, size - 1, out=at)
@@ -290,10 +294,10 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             grown = size[who] * _WORD
             size[who] = grown
             who = who[grown < _BOTTOM]
-        ids[t, :k] = names[model.own[:k] + slot]
-        model.learn(k, outcome, slot)
+        ids[t, :k] = model.names[place + 3]
+        model.learn(k, outcome, slot, place)
     back = np.ascontiguousarray(ids.T)
     done: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for row, n in enumerate(order):
-        done[n] = back[row, : sizes[row]]
+        done[n] = back[row, : sizes[row]].astype(np.int64)
     return done

@@ -29,7 +29,7 @@ from tidemark.llm.common import Scratch, documents, small_batches
 
 MAGIC = b"TMF1"
 #: A frame is closed by the document with which it has so many ids.
-FRAME_IDS = 2_000_000
+FRAME_IDS = 4_000_000
 #: Words whose ids a worker remembers.
 MEMORY = 600_000
 END = 1
