@@ -9,6 +9,13 @@ from tidemark.functions.expressions import ratio
 from tidemark.functions.timebase import DAY, HOUR, MINUTE, bucket
 
 TICK_KEY = ["symbol", "ts_ms", "bid", "ask"]
+#: Spreads in sums: exact to eight places.
+SPREAD = "decimal(27,8)"
+
+
+def average_spread(total: Column, n: Column) -> Column:
+    """The one division of an exact sum; null without a spread."""
+    return F.when(n > 0, total.cast("double") / n)
 
 
 def distinct_ticks(ticks: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -20,7 +27,8 @@ def build_bars(ticks: DataFrame, widths: list[int], tie: str = "event_id", close
     """Bars on the mid of `ticks` (symbol, ts_ms, mid, spread, tie) for each width in ms.
 
     A bar is given once a later bar of its symbol and width has begun, unless `close_last`. Empty bars are not
-    made. Ticks of one millisecond are ordered by `tie`. Aggregation is partial before its one shuffle.
+    made. Ticks of one millisecond are ordered by `tie`. Aggregation is partial before its one shuffle. Spreads are
+    added as SPREAD decimals (`spread_sum`), so no average depends on how rows are dealt; a tick without a spread counts for none.
     """
     spread = ticks.withColumn("width", F.explode(F.array(*map(F.lit, widths)))) if len(widths) > 1 else ticks.withColumn("width", F.lit(widths[0]))
     order = F.struct("ts_ms", tie)
@@ -28,8 +36,9 @@ def build_bars(ticks: DataFrame, widths: list[int], tie: str = "event_id", close
         spread.groupBy("symbol", "width", (F.col("ts_ms") - F.pmod("ts_ms", "width")).alias("start_ms"))
         .agg(
             F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"), F.count("*").alias("ticks"),
-            F.avg("spread").alias("avg_spread"), F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"), F.max_by("spread", order).alias("close_spread"),
+            F.sum(F.col("spread").cast(SPREAD)).alias("spread_sum"), F.count("spread").alias("spreads"), F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"), F.max_by("spread", order).alias("close_spread"),
         )
+        .withColumn("avg_spread", average_spread(F.col("spread_sum"), F.col("spreads")))
     )
     if not close_last:
         newest = F.max("start_ms").over(Window.partitionBy("symbol", "width"))
@@ -41,7 +50,7 @@ def roll_up(bars: DataFrame, width: int, boundary: int = 0) -> DataFrame:
     """Coarser bars out of finer ones of one width: tick-weighted spread, coverage, completeness and provenance."""
     out = bars.groupBy("symbol", bucket(F.col("start_ms"), width, boundary).alias("begin_ms")).agg(
         F.min_by("open", "start_ms").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "start_ms").alias("close"), F.sum("ticks").alias("ticks"),
-        (F.sum(F.col("avg_spread") * F.col("ticks")) / F.sum("ticks")).alias("avg_spread"), F.count("*").alias("observed"), F.min("width").alias("fine"),
+        average_spread(F.sum("spread_sum"), F.sum("spreads")).alias("avg_spread"), F.count("*").alias("observed"), F.min("width").alias("fine"),
         F.max("close_ms").alias("available_ms"), F.array_sort(F.collect_list("start_ms")).alias("sources"),
     )
     expected = (F.lit(width) / F.col("fine")).cast("long")

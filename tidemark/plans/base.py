@@ -54,7 +54,7 @@ TICKS = "ticks AS (SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, event_type AS
 def bars_sql(width: int = HOUR, name: str = "bars") -> str:
     return f"""{name} AS (SELECT *, start_ms + {width} AS close_ms FROM (
   SELECT symbol, ts_ms - ts_ms % {width} AS start_ms, arg_min(mid, (ts_ms, event_id)) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, (ts_ms, event_id)) AS close,
-    count(*) AS ticks, avg(spread) AS avg_spread, min(spread) AS min_spread, max(spread) AS max_spread, arg_max(spread, (ts_ms, event_id)) AS close_spread
+    count(*) AS ticks, sum(CAST(spread AS DECIMAL(27, 8))) AS spread_sum, CAST(sum(CAST(spread AS DECIMAL(27, 8))) AS DOUBLE) / count(*) AS avg_spread, min(spread) AS min_spread, max(spread) AS max_spread, arg_max(spread, (ts_ms, event_id)) AS close_spread
   FROM ticks GROUP BY 1, 2) QUALIFY start_ms < max(start_ms) OVER (PARTITION BY symbol))"""
 
 

@@ -37,7 +37,7 @@ def ohlc_multi_timeframe(s, d):
 
 def _roll_sql(width, boundary=0):
     return f"""{WITH} SELECT symbol, start_ms - (start_ms - {boundary}) % {width} AS begin_ms, round(arg_min(open, start_ms), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low,
- round(arg_max(close, start_ms), 6) AS close, CAST(sum(ticks) AS BIGINT) AS ticks, round(sum(avg_spread * ticks) / sum(ticks), 6) AS avg_spread, count(*) AS observed,
+ round(arg_max(close, start_ms), 6) AS close, CAST(sum(ticks) AS BIGINT) AS ticks, round(CAST(sum(spread_sum) AS DOUBLE) / sum(ticks), 6) AS avg_spread, count(*) AS observed,
  CAST({width // T.HOUR} AS BIGINT) AS expected, round(count(*) / {width // T.HOUR}.0, 6) AS coverage, count(*) = {width // T.HOUR} AS complete,
  greatest(max(close_ms), min(start_ms) - (min(start_ms) - {boundary}) % {width} + {width}) AS available_ms, array_to_string(list(start_ms ORDER BY start_ms), ',') AS sources
 FROM bars GROUP BY 1, 2"""
