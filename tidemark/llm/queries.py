@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import divergence, exact_dedup, fingerprints, html_extract, language_id, lexical_search, mixing, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity
+from tidemark.llm import divergence, exact_dedup, fingerprints, html_extract, language_id, lexical_search, mixing, packing, sentencepiece_codec, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": language_id.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
+    "op11_packing": packing.op11_packing,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
