@@ -54,7 +54,7 @@ def frequent_terms(plain: DataFrame, least: int) -> DataFrame:
         def rows():
             for lang, counter in held.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counter)), pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["lang", "term", "n"]
+                    [pa.array([lang] * len(counter), pa.string()), pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["lang", "term", "n"]
                 )
             held.clear()
 
@@ -128,7 +128,7 @@ def recount(plain: DataFrame, lookup: Lookup, totals: dict[str, int]) -> DataFra
                 at = np.flatnonzero(row)
                 for k in range(0, len(at), 100_000):
                     part = at[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part), pa.array(row[part])], ["lang", "source", "slot", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part), pa.array(row[part])], ["lang", "source", "slot", "n"])
             dense.clear()
 
         for batch in batches:
