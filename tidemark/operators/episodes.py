@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.timebase import DAY
+from tidemark.operators.machines import Machine, named, run
+
 
 def runs(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """`df` with `run`: the number of the unbroken stretch of one state, by key."""
@@ -40,21 +42,21 @@ def newest_segment(df: DataFrame, key: str, ts: str, limit_ms: int, most: int, t
     return marked.where(f"__cut = 0 AND __n <= {most}").drop("__cut", "__n")
 
 
-def hysteresis(df: DataFrame, key: str, order: str, score: str, enter: float = 0.55, leave: float = 0.45, least: int = 2) -> DataFrame:
-    """ON after `least` rows in a row at `enter` or more, OFF again after as many below `leave`; one group a key, in order."""
+def hysteresis(df: DataFrame, key: str, order: str, score: str, enter: float = 0.55, leave: float = 0.45, least: int = 2, width: int = 30 * DAY) -> DataFrame:
+    """`regime`: ON after `least` rows in a row at `enter` or more, OFF again after as many below `leave`; a null score ends a streak.
+
+    A machine over chunks of `width` in the unit of `order` (operators/machines.py).
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        on, streak, out = False, 0, []
-        for x in pdf[score]:
-            push = (x >= enter) if not on else (x < leave)
-            streak = streak + 1 if push else 0
-            if streak >= least:
-                on, streak = not on, 0
-            out.append("ON" if on else "OFF")
-        return pdf.assign(regime=out)
+    def rule(state, letter):
+        on, streak = state
+        streak = streak + 1 if (letter & 2 if on else letter & 1) else 0
+        return ((not on, 0), True) if streak >= least else ((on, streak), False)
 
-    return df.groupBy(key).applyInPandas(run, df.select("*").schema.add("regime", "string"))
+    machine = Machine.of((False, 0), 4, rule)
+    high, low = (F.coalesce(c, F.lit(False)).cast("int") for c in (F.col(score) >= enter, F.col(score) < leave))
+    out = run(df, machine, high + 2 * low, key, [order], width)
+    return out.withColumn("regime", named(F.col("after"), ["ON" if on else "OFF" for on, _ in machine.states])).drop("before", "after", "entered", "age")
 
 
 def ledger(events: DataFrame) -> DataFrame:

@@ -40,10 +40,35 @@ def cutoff(df: DataFrame, ts: str, rank: int):
     return low
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], ranges: int = 256) -> DataFrame:
+    """One row a group of `by`: `known`, how many values are not null, and `cuts`, the exact quantiles at `shares`, interpolated linearly.
+
+    No task holds a group: a sketch cuts each group's values into ranges, rows are counted by range, and only the ranges in
+    which a wanted rank lies are counted by value. Groups without a value have null cuts. NaN counts as the greatest value.
+    """
+    # A struct is equal to another with the same nulls in it, so a null is a group as any other.
+    v = df.select(F.struct(F.lit(0).alias("__one"), *by).alias("__g"), F.col(value).cast("double").alias("__v"))
+    probes = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    splits = v.groupBy("__g").agg(F.count("__v").alias("__n"), F.percentile_approx("__v", probes, F.lit(ranges * 8)).alias("__splits"))
+    dealt = v.where("__v IS NOT NULL").join(splits, "__g").select("__g", "__v", F.size(F.filter("__splits", lambda x: x < F.col("__v"))).alias("__range"))
+    before = F.sum("__rows").over(Window.partitionBy("__g").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows")
+    counted = dealt.groupBy("__g", "__range").agg(F.count("*").alias("__rows")).withColumn("__before", before)  # `ranges` rows a group
+    wanted = F.explode(F.array(*(F.struct(F.lit(n).alias("at"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("rank")) for n, p in enumerate(shares))))
+    ranks = splits.where("__n > 0").select("__g", wanted.alias("w")).select("__g", "w.at", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("place"))
+    placed = counted.join(ranks, "__g").where("place >= __before AND place < __before + __rows").select("__g", "__range", "__before", "at", "rank", "place")
+    inside = dealt.join(placed.select("__g", "__range", "__before").distinct(), ["__g", "__range"]).groupBy("__g", "__range", "__before", "__v").agg(F.count("*").alias("__rows"))
+    upto = F.sum("__rows").over(Window.partitionBy("__g", "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    values = inside.withColumn("__to", upto).drop("__before").join(placed, ["__g", "__range"]).where("place < __to AND place >= __to - __rows")
+    both = values.groupBy("__g", "at", "rank").agg(F.min("__v").alias("low"), F.max("__v").alias("high"))
+    part = F.col("rank") - F.floor("rank")
+    exact = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
+    found = both.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", exact.alias("v")))), lambda x: x["v"]).alias("cuts"))
+    return splits.join(found, "__g", "left").select(*(F.col("__g")[c].alias(c) for c in by), F.col("__n").alias("known"), "cuts")
+
+
 def frozen_cuts(df: DataFrame, value: str, shares: list[float], period: str = "period", by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles over TRAIN rows alone: `cuts`, one row per group of `by` (or one in all)."""
-    cuts = F.percentile(F.when(F.col(period) == "TRAIN", F.col(value)), F.array(*map(F.lit, shares))).alias("cuts")
-    return df.groupBy(*(by or [])).agg(cuts)
+    """Exact quantiles over TRAIN rows alone: `cuts`, one row per group of `by` (or one in all)."""
+    return exact_quantiles(df.withColumn(value, F.when(F.col(period) == "TRAIN", F.col(value))), by or [], value, shares).select(*(by or []), "cuts")
 
 
 def returns_summary(value: str = "ret") -> list[Column]:

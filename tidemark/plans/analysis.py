@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +13,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import stats as S
 from tidemark.operators import structure as P
 from tidemark.operators import text as N
-from tidemark.plans.base import TICKS, WITH, bars, query, r, table, ticks
+from tidemark.plans.base import TICKS, WITH, bars, query, r, scratch, table, ticks
 from tidemark.plans.market import _PIV, W
 from tidemark.sources import feeds
 from tidemark.streaming import streams
@@ -429,27 +425,9 @@ def latest_by_key_snapshot(s, d):
     return streams.latest(table(s, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
-def _scratch(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-    def drop():
-        try:
-            p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended before
-            pass
-
-    atexit.register(drop)
-    return path
-
-
 @query("WITH b AS (SELECT event_type, date_trunc('hour', ts) AS h, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2) SELECT event_type, epoch_us(h) // 1000 AS start_ms, open, high, low, close, ticks FROM b WHERE h < (SELECT max(h) FROM b)")
 def stream_bars_equals_batch(s, d):
-    path = _scratch(s)
+    path = scratch(s)
     streams.drain(streams.bars(streams.read(s, f"{d}/events.parquet")), path)
     return s.read.parquet(f"{path}/data").select("event_type", F.unix_millis(F.to_utc_timestamp("start", F.current_timezone())).alias("start_ms"), "open", "high", "low", "close", "ticks")
 
@@ -457,14 +435,14 @@ def stream_bars_equals_batch(s, d):
 @query("SELECT DISTINCT event_id, event_type FROM events")
 def stream_dedup(s, d):
     e = streams.read(s, f"{d}/events.parquet")
-    path = _scratch(s)
+    path = scratch(s)
     streams.drain(streams.deduplicated(e.unionByName(e.where("event_id % 4 = 0")), "event_id").select("event_id", "event_type"), path)
     return s.read.parquet(f"{path}/data")
 
 
 @query("WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, n, round(sum(value * power(19 / CAST(21 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN 1 ELSE 2 / CAST(21 AS DOUBLE) END), 6) AS ema FROM o GROUP BY 1, 2")
 def stream_running_average(s, d):
-    path = _scratch(s)
+    path = scratch(s)
     streams.drain_batches(streams.running_average(streams.read(s, f"{d}/events.parquet").select("user_id", "event_id", "ts", "value")), path, "update", ["user_id"])
     out = s.read.parquet(f"{path}/data")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), r(F.max_by("ema", "n"), "ema"))

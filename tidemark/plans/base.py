@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +45,33 @@ def bars(spark: SparkSession, sf_dir: str, width: int = HOUR) -> DataFrame:
     return build_bars(ticks(spark, sf_dir), [width])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in that which the cluster names in spark.checkpoint.dir; a temporary one where it is unset and all runs in one process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+    def drop():
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            pass
+
+    atexit.register(drop)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, for plans that read it several times; it also cuts the lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def r(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     """Rounded for comparison."""
     c, name = (F.col(c), name or c) if isinstance(c, str) else (c, name)

@@ -162,7 +162,9 @@ def wilder_atr_adx(s, d):
     return I.indicators(bars(s, d)).select("symbol", "start_ms", *(r(c, digits=4) for c in ("atr", "plus_di", "minus_di", "adx")))
 
 
-@query()
+@query(f"""{_ema_sql(20, False).split("SELECT n.symbol, n.start_ms")[0].rstrip()}, {_MOVES}, t AS (SELECT symbol, start_ms, i, CASE WHEN i > 14 THEN sum(tr) OVER (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING) / 14 END AS atr FROM moves),
+ j AS (SELECT t.symbol, t.start_ms, t.i, t.atr, e.e - lag(e.e, 5) OVER (PARTITION BY t.symbol ORDER BY t.i) AS rise FROM t JOIN e ON e.symbol = t.symbol AND e.i = t.i)
+SELECT symbol, start_ms, round(CASE WHEN atr > 0 THEN rise / atr END, 5) AS ema_slope FROM j""")
 def ema_slope_atr(s, d):
     """Change of the average over five bars in units of the plain ATR."""
     df = I.simple_dmi(I.ema(bars(s, d), 20, sma_seed=False))
@@ -353,7 +355,10 @@ def newest_contiguous_segment(s, d):
     return E.newest_segment(ticks(s, d), "user_id", "ts_ms", T.DAY, 50, "event_id").select("user_id", "event_id", "ts_ms")
 
 
-@query()
+@query(f"""{WITH.replace('WITH ', 'WITH RECURSIVE ', 1)}, v AS (SELECT symbol, start_ms, {_pos(20).replace('round(', '(').replace(', 6) AS', ') AS')} FROM bars), n AS (SELECT *, row_number() OVER ({W}) AS i FROM v WHERE position_20 IS NOT NULL),
+ e AS (SELECT symbol, CAST(0 AS BIGINT) AS i, false AS on_, 0 AS streak FROM (SELECT DISTINCT symbol FROM n)
+   UNION ALL SELECT symbol, i, CASE WHEN streak + 1 >= 2 AND push THEN NOT on_ ELSE on_ END, CASE WHEN push AND streak + 1 < 2 THEN streak + 1 ELSE 0 END FROM (SELECT n.symbol, n.i, e.on_, e.streak, CASE WHEN e.on_ THEN position_20 < 0.45 ELSE position_20 >= 0.55 END AS push FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1))
+SELECT n.symbol, n.start_ms, CASE WHEN e.on_ THEN 'ON' ELSE 'OFF' END AS regime FROM n JOIN e ON e.symbol = n.symbol AND e.i = n.i""")
 def hysteresis_regime(s, d):
     df = I.range_position(bars(s, d)).where("position_20 IS NOT NULL").select("symbol", "start_ms", "position_20")
     return E.hysteresis(df, "symbol", "start_ms", "position_20").select("symbol", "start_ms", "regime")

@@ -11,7 +11,7 @@ from tidemark.functions import verdicts as V
 from tidemark.operators import regime as G
 from tidemark.operators import reports as R
 from tidemark.operators import stats as S
-from tidemark.plans.base import TICKS, WITH, bars, query, r, table, ticks
+from tidemark.plans.base import TICKS, WITH, bars, query, r, table, ticks, written
 
 _W = "PARTITION BY symbol ORDER BY start_ms"
 FRAME = f"""{WITH}, f0 AS (SELECT *, CASE WHEN count(*) OVER (w ROWS 13 PRECEDING) = 14 THEN nullif(round(avg(high - low) OVER (w ROWS 13 PRECEDING), 8), 0) END AS atr, round(avg(close) OVER (w ROWS 19 PRECEDING), 8) AS mean20,
@@ -54,27 +54,64 @@ FRAME = FRAME.replace("round(greatest(0, least(100, 50 + 20 * (close - mean20) /
 
 _CAL = f"""{FRAME}, c0 AS (SELECT *, count(atr) OVER p >= 30 AND count(slope) OVER p >= 30 AND train AS enough, quantile_cont(atr, 0.2) OVER p AS q1, quantile_cont(atr, 0.8) OVER p AS q2, quantile_cont(abs(slope), 0.6) OVER p AS q3, quantile_cont(abs(slope), 0.35) OVER p AS q4
   FROM f WINDOW p AS ({_W} ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING)),
- c1 AS (SELECT *, CASE WHEN enough THEN round(q1, 8) END AS l, CASE WHEN enough THEN round(q2, 8) END AS h, CASE WHEN enough THEN round(greatest(0.05, q3), 8) END AS e, CASE WHEN enough THEN round(greatest(0.025, q4), 8) END AS x FROM c0),
- c AS (SELECT *, last_value(l IGNORE NULLS) OVER u AS atr_low, last_value(h IGNORE NULLS) OVER u AS atr_high, last_value(e IGNORE NULLS) OVER u AS slope_entry, last_value(x IGNORE NULLS) OVER u AS slope_exit FROM c1 WINDOW u AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+ z AS (SELECT symbol, CASE WHEN count(atr) >= 30 AND count(slope) >= 30 THEN [round(quantile_cont(atr, 0.2), 8), round(quantile_cont(atr, 0.8), 8), round(greatest(0.05, quantile_cont(abs(slope), 0.6)), 8), round(greatest(0.025, quantile_cont(abs(slope), 0.35)), 8)] END AS t FROM f WHERE train GROUP BY 1),
+ c1 AS (SELECT c0.*, CASE WHEN enough THEN [round(q1, 8), round(q2, 8), round(greatest(0.05, q3), 8), round(greatest(0.025, q4), 8)] WHEN NOT train THEN t END AS t FROM c0 LEFT JOIN z ON z.symbol = c0.symbol),
+ c AS (SELECT *, t[1] AS atr_low, t[2] AS atr_high, t[3] AS slope_entry, t[4] AS slope_exit FROM c1)"""
+
+_RANK = "CASE WHEN len({l}) >= 30 AND {x} IS NOT NULL THEN len(list_filter({l}, lambda v: v <= {x})) / CAST(len({l}) AS DOUBLE) END"
+_RANKED = f"""{_CAL}, p0 AS (SELECT *, row_number() OVER w AS i, high - low AS wide, list(atr) FILTER (WHERE atr IS NOT NULL) OVER p AS pa, list(high - low) OVER p AS pr, list(avg_spread) OVER p AS ps,
+  lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, greatest(lag(high, 4) OVER w, lag(high, 3) OVER w, lag(high) OVER w, high) AS nh, least(lag(low, 4) OVER w, lag(low, 3) OVER w, lag(low) OVER w, low) AS nl, lag(high, 4) OVER w IS NOT NULL AND atr IS NOT NULL AS ready
+  FROM c WINDOW w AS ({_W}), p AS ({_W} ROWS BETWEEN 101 PRECEDING AND 1 PRECEDING)),
+ p1 AS (SELECT *, {_RANK.format(l="pa", x="atr")} AS atr_rank, {_RANK.format(l="pr", x="wide")} AS range_rank, {_RANK.format(l="ps", x="avg_spread")} AS spread_rank,
+  CASE WHEN ready AND (h2 > nh) <> (l2 < nl) THEN CASE WHEN h2 > nh THEN 'H' ELSE 'L' END END AS pivot, CASE WHEN ready AND (h2 > nh) <> (l2 < nl) THEN CASE WHEN h2 > nh THEN h2 ELSE l2 END END AS at_price,
+  atr IS NOT NULL AND slope IS NOT NULL AND slope_entry IS NOT NULL AS known FROM p0)"""
+
+#: One fold over the bars of each symbol: the last four alternating pivots, the trend before, the settled regime with candidate, run and age.
+_FOLD = f"""{_RANKED.replace("WITH ", "WITH RECURSIVE ", 1)}, fold AS (
+ SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS k, CAST(NULL AS DOUBLE) AS x1, CAST(NULL AS DOUBLE) AS x2, CAST(NULL AS DOUBLE) AS x3, CAST(NULL AS DOUBLE) AS x4, 'UNKNOWN' AS structure, 'UNKNOWN' AS trend, 'UNKNOWN' AS volatility, 'UNKNOWN' AS transition, 'UNKNOWN' AS regime,
+  CAST(0 AS DOUBLE) AS confidence, 'UNKNOWN' AS settled, CAST(NULL AS VARCHAR) AS candidate, 0 AS n, CAST(0 AS BIGINT) AS age, CAST(NULL AS VARCHAR) AS moved_from, CAST(NULL AS VARCHAR) AS moved_to FROM (SELECT DISTINCT symbol FROM p1)
+ UNION ALL
+ SELECT symbol, i, k, x1, x2, x3, x4, structure, trend, volatility, transition, regime, confidence, CASE WHEN go THEN regime ELSE settled END, CASE WHEN ok AND NOT go THEN regime END, CASE WHEN ok AND NOT go THEN m ELSE 0 END, CASE WHEN go THEN 1 ELSE age + 1 END, CASE WHEN go THEN settled END, CASE WHEN go THEN regime END
+ FROM (SELECT *, ok AND (m >= 2 OR regime IN ('EVENT_SHOCK', 'TRANSITION')) AS go FROM (
+  SELECT *, regime <> settled AND regime <> 'UNKNOWN' AND confidence >= CASE WHEN settled = 'UNKNOWN' THEN 0.55 ELSE 0.45 END AS ok, CASE WHEN regime = candidate THEN n + 1 ELSE 1 END AS m FROM (
+  SELECT *, round(CASE regime WHEN 'UNKNOWN' THEN 0 WHEN 'EVENT_SHOCK' THEN 1 WHEN 'TRANSITION' THEN greatest(0.75, strength) WHEN 'RANGE' THEN 0.5 ELSE strength END, 4) AS confidence FROM (
+  SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' WHEN transition = 'SHOCK' THEN 'EVENT_SHOCK' WHEN transition = 'TRANSITION' THEN 'TRANSITION' WHEN trend = 'UP' AND structure <> 'BEARISH' THEN 'TREND_UP' WHEN trend = 'DOWN' AND structure <> 'BULLISH' THEN 'TREND_DOWN'
+    WHEN structure = 'RANGE' OR trend = 'FLAT' THEN 'RANGE' WHEN volatility = 'EXPANSION' THEN 'VOL_EXPANSION' WHEN volatility = 'CONTRACTION' THEN 'VOL_CONTRACTION' ELSE 'UNKNOWN' END AS regime, least(1.0, abs(slope) / greatest(slope_entry * 2, 0.01)) AS strength FROM (
+  SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' WHEN coalesce(atr_rank >= 0.98 AND (coalesce(range_rank >= 0.98, false) OR coalesce(spread_rank >= 0.98, false)), false) THEN 'SHOCK' WHEN before <> 'UNKNOWN' AND before <> trend THEN 'TRANSITION' ELSE 'STABLE' END AS transition,
+    CASE WHEN NOT known THEN 'UNKNOWN' WHEN atr >= atr_high THEN 'EXPANSION' WHEN atr <= atr_low THEN 'CONTRACTION' ELSE 'NORMAL' END AS volatility,
+    CASE WHEN x4 IS NULL OR atr IS NULL THEN 'UNKNOWN' WHEN x1 - x3 > 0.1 * atr AND x2 - x4 > 0.1 * atr THEN 'BULLISH' WHEN x1 - x3 < -0.1 * atr AND x2 - x4 < -0.1 * atr THEN 'BEARISH' WHEN abs(x1 - x3) <= 0.1 * atr AND abs(x2 - x4) <= 0.1 * atr THEN 'RANGE' ELSE 'MIXED' END AS structure FROM (
+  SELECT g.symbol, g.i, g.atr, g.slope, g.atr_low, g.atr_high, g.slope_entry, g.known, g.atr_rank, g.range_rank, g.spread_rank, o.trend AS before, o.settled, o.candidate, o.n, o.age, coalesce(g.pivot, o.k) AS k,
+    CASE WHEN g.pivot IS NULL THEN o.x1 WHEN g.pivot = o.k THEN CASE WHEN g.pivot = 'H' THEN greatest(o.x1, g.at_price) ELSE least(o.x1, g.at_price) END ELSE g.at_price END AS x1,
+    CASE WHEN g.pivot IS NULL OR g.pivot = o.k THEN o.x2 ELSE o.x1 END AS x2, CASE WHEN g.pivot IS NULL OR g.pivot = o.k THEN o.x3 ELSE o.x2 END AS x3, CASE WHEN g.pivot IS NULL OR g.pivot = o.k THEN o.x4 ELSE o.x3 END AS x4,
+    CASE WHEN NOT g.known THEN 'UNKNOWN' WHEN g.slope >= CASE WHEN o.trend IN ('UP', 'DOWN') THEN g.slope_exit ELSE g.slope_entry END THEN 'UP' WHEN g.slope <= -CASE WHEN o.trend IN ('UP', 'DOWN') THEN g.slope_exit ELSE g.slope_entry END THEN 'DOWN' ELSE 'FLAT' END AS trend
+  FROM fold o JOIN p1 g ON g.symbol = o.symbol AND g.i = o.i + 1))))))),
+ states AS (SELECT fold.*, p1.start_ms, p1.close_ms FROM fold JOIN p1 ON p1.symbol = fold.symbol AND p1.i = fold.i)"""
+
+
+def _classified(s, d):
+    b = G.ranked(G.structured(G.calibrated(written(frame(s, d)))), {"atr_rank": F.col("atr"), "range_rank": F.col("high") - F.col("low"), "spread_rank": F.col("avg_spread")})
+    return G.classified(b)
 
 
 @query(f"{_CAL} SELECT symbol, start_ms, round(atr_low, 6) AS atr_low, round(atr_high, 6) AS atr_high, round(slope_entry, 6) AS slope_entry, round(slope_exit, 6) AS slope_exit FROM c")
 def regime_calibration(s, d):
     """Thresholds of the bars before in TRAIN, frozen afterwards."""
-    return G.calibrated(frame(s, d)).select("symbol", "start_ms", r("atr_low"), r("atr_high"), r("slope_entry"), r("slope_exit"))
+    return G.calibrated(written(frame(s, d))).select("symbol", "start_ms", r("atr_low"), r("atr_high"), r("slope_entry"), r("slope_exit"))
 
 
-@query(f"""{_CAL}, k AS (SELECT *, atr IS NOT NULL AND slope IS NOT NULL AND slope_entry IS NOT NULL AS known FROM c),
- o AS (SELECT *, coalesce(last_value(CASE WHEN NOT known THEN 0 WHEN abs(slope) >= slope_entry THEN 1 WHEN abs(slope) < slope_exit THEN 0 END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS on_ FROM k),
- t AS (SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' WHEN on_ = 1 AND slope > 0 THEN 'UP' WHEN on_ = 1 THEN 'DOWN' ELSE 'FLAT' END AS trend FROM o),
- b AS (SELECT *, coalesce(lag(trend) OVER ({_W}), 'UNKNOWN') AS prev FROM t),
- z AS (SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' WHEN prev <> 'UNKNOWN' AND prev <> trend THEN 'TRANSITION' ELSE 'STABLE' END AS transition FROM b),
- g AS (SELECT *, CASE WHEN transition IN ('UNKNOWN', 'TRANSITION') THEN transition WHEN trend = 'UP' THEN 'TREND_UP' WHEN trend = 'DOWN' THEN 'TREND_DOWN' ELSE 'RANGE' END AS regime, least(1.0, abs(slope) / greatest(slope_entry * 2, 0.01)) AS strength FROM z)
-SELECT symbol, start_ms, trend, CASE WHEN NOT known THEN 'UNKNOWN' WHEN atr >= atr_high THEN 'EXPANSION' WHEN atr <= atr_low THEN 'CONTRACTION' ELSE 'NORMAL' END AS volatility, transition, regime,
-  round(CASE regime WHEN 'UNKNOWN' THEN 0 WHEN 'TRANSITION' THEN greatest(0.75, strength) WHEN 'RANGE' THEN 0.5 ELSE strength END, 4) AS confidence FROM g""")
+@query(f"{_FOLD} SELECT symbol, start_ms, structure, trend, volatility, transition, regime, confidence FROM states")
 def regime_states(s, d):
-    """Trend entered and left at different slopes, volatility, transition, regime."""
-    return G.classified(G.calibrated(frame(s, d))).select("symbol", "start_ms", "trend", "volatility", "transition", "regime", "confidence")
+    """Structure, trend entered and left at different slopes, volatility, shock, transition, regime; the SQL folds over the bars."""
+    return _classified(s, d).select("symbol", "start_ms", "structure", "trend", "volatility", "transition", "regime", "confidence")
+
+
+@query(f"""{_FOLD}, copies AS (SELECT *, false AS again FROM states UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS moved_from, CAST(NULL AS VARCHAR) AS moved_to), true FROM states WHERE (start_ms // 3600000) % 5 = 0)
+SELECT symbol, start_ms, again, settled, age, moved_from, moved_to FROM copies""")
+def regime_hysteresis(s, d):
+    """The settled regime with its age and moves; every fifth hour's bar comes twice, and the second time changes nothing."""
+    b = written(_classified(s, d)).withColumn("again", F.lit(False))
+    twice = b.unionByName(b.where("(start_ms div 3600000) % 5 = 0").withColumn("again", F.lit(True)))
+    return G.settled(twice, ["again"]).select("symbol", "start_ms", "again", "settled", "age", "moved_from", "moved_to")
 
 
 @query(f"""{FRAME}, q AS (SELECT symbol, start_ms, train, round(avg_spread, 6) AS x FROM f), p AS (SELECT *, list(x) OVER ({_W} ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING) AS past FROM q),
