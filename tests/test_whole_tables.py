@@ -36,7 +36,7 @@ def first(stop, target):
 
 
 def test_entry_of_every_tick(spark, small, rows):
-    got = {r.event_id: (r.entry_id, r.entry) for r in QUERIES["entry_tick_lookup_all"](spark, small).collect()}
+    got = {r.event_id: (r.entry_id, r.entry) for r in QUERIES["entry_tick_lookup"](spark, small).collect()}
     assert set(got) == {a.event_id for a in rows}
     for a in rows:
         after = [t for t in rows if t.symbol == a.symbol and t.ts_ms > a.ts_ms]
@@ -48,10 +48,10 @@ def test_entry_of_every_tick(spark, small, rows):
 
 
 def test_barriers_of_every_tick(spark, small, rows):
-    got = {r.anchor_id: (r.stop_ms, r.target_ms, r.first) for r in QUERIES["first_touch_barriers_all"](spark, small).collect()}
+    got = {r.anchor_id: (r.stop_ms, r.target_ms, r.first) for r in QUERIES["first_touch_barriers"](spark, small).collect()}
     want = touches(rows)
     assert got == {k: (*v, first(*v)) for k, v in want.items()} and len({v[2] for v in got.values()}) > 1
-    summary = QUERIES["stop_target_summary_all"](spark, small).collect()[0]
+    summary = QUERIES["stop_target_summary"](spark, small).collect()[0]
     won = sum(t is not None and (s is None or t < s) for s, t in want.values()) / len(rows)
     assert summary.asDict() == {"cases": len(rows), "stopped": sum(s is not None for s, _ in want.values()), "reached": sum(t is not None for _, t in want.values()), "target_first": pytest.approx(won, abs=1e-6)}
 
@@ -65,4 +65,4 @@ def test_history_grows_with_the_table(spark, tiny, small):
         for e in events:
             if e.event_id not in known:
                 want[e.event_type] = want.get(e.event_type, 0) + 1
-        assert {r.event_type: r.fresh for r in QUERIES["dedup_against_history_all"](spark, path).collect()} == want
+        assert {r.event_type: r.fresh for r in QUERIES["dedup_against_history"](spark, path).collect()} == want

@@ -52,12 +52,6 @@ def entry_tick_lookup(s, d):
     return _entry(ticks(s, d))
 
 
-@query()
-def entry_tick_lookup_all(s, d):
-    """The name that the query over every tick had while the one above took some of them."""
-    return _entry(ticks(s, d))
-
-
 def _entry(t):
     a = t.select("event_id", (F.col("ts_ms") + 1).alias("at_ms"), "symbol")
     got = J.asof_forward(a, t.select("symbol", "ts_ms", F.col("event_id").alias("entry_id"), "ask"), "symbol", "at_ms", "ts_ms", ["entry_id", "ask"])
@@ -140,12 +134,6 @@ def first_touch_barriers(s, d):
     return _first(_touch(ticks(s, d)))
 
 
-@query()
-def first_touch_barriers_all(s, d):
-    """An earlier name of the query above."""
-    return _first(_touch(ticks(s, d)))
-
-
 def _first(touched):
     first = F.when(F.col("stop_ms").isNull() & F.col("target_ms").isNull(), "NEITHER").when(F.col("target_ms").isNull() | (F.col("stop_ms") <= F.col("target_ms")), "STOP").otherwise("TARGET")
     return touched.withColumn("first", first)
@@ -156,12 +144,6 @@ def stop_target_summary(s, d):
     return _summary(_touch(ticks(s, d)))
 
 
-@query()
-def stop_target_summary_all(s, d):
-    """An earlier name of the query above."""
-    return _summary(_touch(ticks(s, d)))
-
-
 def _summary(touched):
     won = F.col("target_ms").isNotNull() & (F.col("stop_ms").isNull() | (F.col("target_ms") < F.col("stop_ms")))
     return touched.agg(F.count("*").alias("cases"), F.count("stop_ms").alias("stopped"), F.count("target_ms").alias("reached"), r(F.avg(F.when(won, 1.0).otherwise(0.0)), "target_first"))
@@ -198,12 +180,6 @@ def conflicting_duplicates(s, d):
 @query("SELECT event_type, count(*) AS fresh FROM events WHERE ts >= (SELECT ts FROM events ORDER BY ts LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.6) AS BIGINT) FROM events)) GROUP BY 1")
 def dedup_against_history(s, d):
     """Events that the history, all of the TRAIN period, does not hold."""
-    return dedup_against_history_all(s, d)
-
-
-@query()
-def dedup_against_history_all(s, d):
-    """An earlier name of the query above."""
     e = _split(s, d)
     return _fresh(e.select("event_id", "event_type"), e.where("period = 'TRAIN'").select("event_id"))
 
