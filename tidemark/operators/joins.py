@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timebase import HOUR
+from tidemark.operators import barriers
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], strict: bool = False, width: int = 24 * HOUR) -> DataFrame:
@@ -73,13 +74,18 @@ def outcomes(anchors: DataFrame, ticks: DataFrame, horizons: dict[str, int], key
 
 
 def first_touch(anchors: DataFrame, ticks: DataFrame, conditions: dict[str, Column], horizon: int, key: str = "symbol", at: str = "anchor_ms", ident: str = "anchor_id") -> DataFrame:
-    """Per anchor the first time each condition (on columns of both) holds in (anchor, anchor + horizon]; null if never."""
+    """Per anchor the first time each condition (on columns of both) holds in (anchor, anchor + horizon]; null if never.
+
+    Any condition will do, so all ticks of the span are paired with the anchor; levels are found without pairs by `barriers.first_crossings`.
+    """
     spans = anchors.withColumn("__until", F.col(at) + horizon)
     joined = interval_join(spans, ticks, key, at, "__until", "ts_ms", horizon)
     return joined.groupBy(ident).agg(*(F.min(F.when(c, F.col("ts_ms"))).alias(n) for n, c in conditions.items()))
 
 
-def range_extremes(spans: DataFrame, bars: DataFrame, ident: str, key: str, begin: str, end: str, width: int) -> DataFrame:
-    """Highest high and lowest low of bars that start in [begin, end)."""
-    joined = interval_join(spans, bars.select(key, "start_ms", "high", "low"), key, begin, end, "start_ms", width, closed="left")
-    return joined.groupBy(ident).agg(F.max("high").alias("highest"), F.min("low").alias("lowest"), F.count("start_ms").alias("n_bars"))
+def range_extremes(spans: DataFrame, bars: DataFrame, ident: str, key: str, begin: str, end: str, base: int = HOUR, levels: int = 2) -> DataFrame:
+    """Highest high and lowest low of bars that start in [begin, end), from blocks of bars (operators/barriers.py); null where there are none."""
+    asked = spans.select(F.col(ident).alias("request"), key, F.col(begin).alias("from_ms"), (F.col(end) - 1).alias("until_ms"))
+    found = barriers.extremes(asked, bars.select(key, "start_ms", "high", "low"), ["high", "low"], key, "start_ms", base, levels=levels)
+    out = spans.select(F.col(ident)).join(found.withColumnRenamed("request", "__request"), F.col(ident).eqNullSafe(F.col("__request")), "left")
+    return out.select(ident, F.col("high_high").alias("highest"), F.col("low_low").alias("lowest"), F.coalesce("rows", F.lit(0)).alias("n_bars"))

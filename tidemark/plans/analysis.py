@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expressions as X
 from tidemark.functions import timebase as T
+from tidemark.operators import barriers as A
 from tidemark.operators import episodes as E
 from tidemark.operators import indicators as I
 from tidemark.operators import joins as J
 from tidemark.operators import stats as S
 from tidemark.operators import structure as P
 from tidemark.operators import text as N
-from tidemark.plans.base import TICKS, WITH, bars, query, r, scratch, table, ticks
+from tidemark.plans.base import TICKS, WITH, bars, query, r, scratch, table, ticks, written
 from tidemark.plans.market import _PIV, W
 from tidemark.sources import feeds
 from tidemark.streaming import streams
@@ -123,10 +124,15 @@ _TOUCH = f"""{WITH}, a AS (SELECT event_id AS anchor_id, symbol, ts_ms AS anchor
 
 
 def _touch(t):
-    a = t.select(F.col("event_id").alias("anchor_id"), "symbol", F.col("ts_ms").alias("anchor_ms"), F.col("ask").alias("entry"), F.when(F.col("event_id") % 2 == 0, "LONG").otherwise("SHORT").alias("side"))
-    stop = F.expr("side = 'LONG' AND bid <= entry * 0.5D OR side = 'SHORT' AND ask >= entry * 1.5D")
-    target = F.expr("side = 'LONG' AND bid >= entry * 1.5D OR side = 'SHORT' AND ask <= entry * 0.5D")
-    return J.first_touch(a, t.select("symbol", "ts_ms", "bid", "ask"), {"stop_ms": stop, "target_ms": target}, 4 * T.HOUR)
+    """Two requests an anchor, for the first tick after it at half its price and at half as much again; a base block spans a few of these ticks."""
+    long = F.col("event_id") % 2 == 0
+    low, high = (F.struct(F.lit(falls).alias("falls"), (F.col("ask") * k).alias("level_at")) for falls, k in ((True, 0.5), (False, 1.5)))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.when(long, low).otherwise(high).alias("b")), F.struct(F.lit(1).alias("end"), F.when(long, high).otherwise(low).alias("b")))
+    asked = t.select("event_id", "symbol", (F.col("ts_ms") + 1).alias("from_ms"), (F.col("ts_ms") + 4 * T.HOUR).alias("until_ms"), F.when(long, "bid").otherwise("ask").alias("of"), F.explode(ends).alias("e"))
+    asked = asked.select((F.col("event_id") * 2 + F.col("e.end")).alias("request"), "symbol", "from_ms", "until_ms", "of", "e.b.falls", "e.b.level_at")
+    hits = A.first_crossings(asked, t.select("symbol", "ts_ms", "bid", "ask"), ["bid", "ask"], base=15 * T.MINUTE, keep=written, levels=2)
+    hits = hits.groupBy(F.expr("request div 2").alias("anchor_id")).agg(*(F.max(F.when(F.col("request") % 2 == k, F.col("hit_ms"))).alias(e) for k, e in enumerate(("stop_ms", "target_ms"))))
+    return t.select(F.col("event_id").alias("anchor_id")).join(hits, "anchor_id", "left")
 
 
 @query(f"{_TOUCH} SELECT anchor_id, stop_ms, target_ms, CASE WHEN stop_ms IS NULL AND target_ms IS NULL THEN 'NEITHER' WHEN target_ms IS NULL OR stop_ms <= target_ms THEN 'STOP' ELSE 'TARGET' END AS first FROM b")
@@ -153,7 +159,7 @@ def _summary(touched):
 def range_extrema_lookup(s, d):
     b = bars(s, d)
     spans = b.select("symbol", F.struct("symbol", "start_ms").alias("ident"), F.col("close_ms").alias("begin_ms"), (F.col("close_ms") + 12 * T.HOUR).alias("end_ms"))
-    out = J.range_extremes(spans, b, "ident", "symbol", "begin_ms", "end_ms", 12 * T.HOUR)
+    out = J.range_extremes(spans, b, "ident", "symbol", "begin_ms", "end_ms")
     return out.select("ident.symbol", "ident.start_ms", r("highest"), r("lowest"), "n_bars")
 
 
