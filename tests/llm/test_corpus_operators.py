@@ -239,3 +239,19 @@ def test_sql(spark, tiny, name):
     df, want = QUERIES[name](spark, tiny), con.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+# ---- op10: both ways of raking
+
+def test_raking_on_the_driver_equals_raking_in_spark(spark, tiny, monkeypatch):
+    from tidemark.llm import mixing
+
+    seen = []
+    for most in (mixing.CELLS_AT_DRIVER, 0):
+        monkeypatch.setattr(mixing, "CELLS_AT_DRIVER", most)
+        rows = mixing.mix(spark.read.parquet(f"{tiny}/documents.parquet"), budget=0.8).collect()
+        seen.append({r.doc_id: (r.mix_weight, r.mix_probability, r.mix_drawn) for r in rows})
+    assert seen[0].keys() == seen[1].keys() and len({v[0] for v in seen[0].values()}) > 10
+    for k, (weight, probability, drawn) in seen[0].items():
+        # A cell at its cap or a hair below it is scaled differently, so both ways agree within the tolerance of the margins alone.
+        assert (weight, probability) == pytest.approx(seen[1][k][:2], rel=mixing.TOLERANCE) and drawn == seen[1][k][2]

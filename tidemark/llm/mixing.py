@@ -2,13 +2,16 @@
 
 Documents are added up to cells (source, language, topic); the cells' token masses are raked until their margins
 meet the targets, no cell giving more than it has, and a cell's documents are drawn with the probability that gives its
-raked mass. Everything is over the cell table in Spark; what reaches the driver is a few sums a sweep.
+raked mass. The cell table is made in Spark. Up to CELLS_AT_DRIVER cells, which are sums over names, are raked in one loop
+on the driver; a larger table stays in Spark, and a few sums a sweep reach the driver.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from tidemark.llm.common import Scratch, documents
 MARGINS = ("source", "lang", "topic")
 #: Margins are met when no target is off by more than this share of it, or after so many sweeps.
 TOLERANCE, SWEEPS = 3e-3, 30
+#: Cells, of some 100 bytes, that the driver rakes itself.
+CELLS_AT_DRIVER = 100_000
 #: Sweeps that bring the worst target no nearer by a tenth, after which targets count as contradicting each other.
 STUCK = 3
 #: Weights above 1 all mean the probability 1; they are kept for later sweeps, up to this.
@@ -84,14 +89,51 @@ def attainable(cells: DataFrame, targets: dict[str, DataFrame], total: float, bu
     return scratch.write(names.select("margin", "name", share.alias("share"), F.least(F.col("mass"), by_margin(scale) * F.col("share")).alias("want")), "wanted")
 
 
+def rake_arrays(names: dict[str, list], mass: np.ndarray, raked: np.ndarray, wanted: dict[str, dict], capped: bool, tolerance: float, sweeps: int) -> np.ndarray:
+    """The steps of `rake` over cells in arrays: `names` has each cell's name by margin, `wanted` what a name wants."""
+    codes, wants = {}, {}
+    for margin, own in names.items():
+        order = {name: k for k, name in enumerate(dict.fromkeys(own))}
+        codes[margin] = np.fromiter((order[x] for x in own), np.int64, len(own))
+        wants[margin] = np.array([wanted[margin].get(x, np.nan) for x in order], float)
+    some, least, stuck = mass > 0, float("inf"), 0
+    for _ in range(sweeps):
+        worst = 0.0
+        for margin, code in codes.items():
+            n, full_cell = len(wants[margin]), (raked >= 1) & capped
+            per_name = lambda x, code=code, n=n: np.bincount(code[some], x[some], n)
+            full, free, want = per_name(np.where(full_cell, mass, 0.0)), per_name(np.where(full_cell, 0.0, mass * raked)), wants[margin]
+            here, given = (np.bincount(code[some], minlength=n) > 0) & ~np.isnan(want), full + free
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.where((free > 0) & (want > full), (want - full) / free, np.where(given > 0, want / given, 1.0))
+                apart = np.where(want > 0, np.abs(given / want - 1), np.where(given > 0, 1.0, 0.0))
+            raked = np.minimum(raked * np.where(here, factor, 0.0)[code], CEILING)
+            worst = max(worst, apart[here].max(initial=0.0))
+        stuck = stuck + 1 if worst > 0.9 * least else 0
+        least = min(least, worst)
+        if worst < tolerance or stuck == STUCK:
+            break
+    return raked
+
+
 def rake(cells: DataFrame, start: Column, wanted: DataFrame, capped: bool, scratch: Scratch, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
     """`cells` (margins, mass, ...) with `raked`, from `start` on, so that mass * raked meets `wanted` (margin, name, want).
 
+    Up to CELLS_AT_DRIVER cells, a table of sums, are raked in one numpy loop (`rake_arrays`); more by Spark, by the same steps.
+
     For each margin in turn a name's cells are scaled so that they give what it wants. Where `capped`, a cell gives its
     mass at most: cells at 1 or above count as they are and only the others are scaled to the rest, so margins hold under
     the cap. Margins that contradict each other leave the last one met and the others as near as the sweeps came.
     """
     margins = [r.margin for r in wanted.select("margin").distinct().orderBy("margin").collect()]
+    if cells.count() <= CELLS_AT_DRIVER:
+        started = cells.withColumn("raked", F.when(F.col("mass") > 0, start).otherwise(0.0).cast("double"))
+        table = started.toArrow()
+        want = {m: {r.name: r.want for r in wanted.where(F.col("margin") == m).collect()} for m in margins}  # a row a name of the cells
+        mass, raked = (table.column(c).to_numpy().astype(float) for c in ("mass", "raked"))
+        found = rake_arrays({m: table.column(m).to_pylist() for m in margins}, mass, raked, want, capped, tolerance, sweeps)
+        table = table.set_column(table.schema.get_field_index("raked"), "raked", pa.array(found, pa.float64()))
+        return scratch.write(cells.sparkSession.createDataFrame(table, started.schema), f"raked-{capped}")
     current = scratch.write(cells.withColumn("raked", F.when(F.col("mass") > 0, start).otherwise(0.0)), f"raked-{capped}-0")
     least, stuck = float("inf"), 0
     for sweep in range(1, sweeps + 1):
