@@ -11,6 +11,9 @@ import __spark_entry__ as e
 names, sql = e.queries(), e.oracle_sql()
 assert "pipeline" not in names and "flagship" in names and set(sql) <= set(names)
 assert not any(n.startswith("op") and n[2].isdigit() for n in names)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+assert names["ohlc_bars_4h"](spark, "/root/testdata/sf0.001").count() > 0 and names["alias_rewrite"](spark, "/root/testdata/sf0.001").count() > 0
 """
 
 

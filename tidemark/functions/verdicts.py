@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +110,13 @@ def health(age_s: Column, limit_s: Column) -> Column:
 def causal(provenance: Column, value: Column) -> Column:
     """`value`, where it says that it comes from closed bars alone; fails for any other provenance."""
     return F.when(F.coalesce(provenance, F.lit("")) == "CLOSED_M1_ONLY", value).otherwise(F.raise_error(F.concat(F.lit("not causal: "), F.coalesce(provenance, F.lit("null")))))
+
+
+def renamed_values(tree: Column, old: str, new: str) -> Column:
+    """JSON text in which each string value that is `old`, in any case, is `new`; keys (which a colon follows) and parts of longer strings stay.
+
+    `old` and `new` are words of letters, digits and underscores; a value written with \\u escapes is not taken for `old`.
+    """
+    if not (re.fullmatch(r"\w+", old, re.ASCII) and re.fullmatch(r"\w+", new, re.ASCII)):
+        raise ValueError("old and new must be words")
+    return F.regexp_replace(tree, rf'(?<!\\)"(?i:{old})"(?!\s*:)', f'"{new}"')

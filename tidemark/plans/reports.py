@@ -417,11 +417,17 @@ def portfolio_flatten(s, d):
     return own.union(copied).groupBy("o_custkey", "origin").agg(F.count("*").alias("positions"), r(F.sum("units"), "units", 4))
 
 
-@query("SELECT l_orderkey, l_linenumber, replace(concat('{\"type\":\"POSITION_CLOSE\",\"children\":[{\"type\":\"', l_returnflag, '\",\"old\":\"POSITION_CLOSE\"}]}'), '\"POSITION_CLOSE\"', '\"POSITION_CLOSED\"') AS event FROM lineitem")
+_TREE = r'''{"POSITION_CLOSE":"%s","children":["%s",{"type":"%s" , "note":"a \\"POSITION_CLOSE\\" b"}],"more":"POSITION_CLOSE "}'''
+_NOW = "CASE WHEN l_returnflag IN ('A', 'R') THEN 'POSITION_CLOSED' ELSE 'OPEN' END"
+
+
+@query("SELECT l_orderkey, l_linenumber, concat(" + ", ".join(f"'{part}'" for part in _TREE.split("%s")).replace("', '", f"', {_NOW}, '") + ") AS event FROM lineitem")
 def alias_rewrite(s, d):
-    """An old name becomes the new one anywhere in a JSON tree, as a whole value."""
-    event = F.concat(F.lit('{"type":"POSITION_CLOSE","children":[{"type":"'), "l_returnflag", F.lit('","old":"POSITION_CLOSE"}]}'))
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.regexp_replace(event, '"POSITION_CLOSE"', '"POSITION_CLOSED"').alias("event"))
+    """An old name, in any case, becomes the new one wherever it is a whole value of a JSON tree; keys and parts of texts stay."""
+    old = F.when(F.col("l_returnflag") == "A", "position_close").when(F.col("l_returnflag") == "R", "POSITION_Close").otherwise("OPEN")
+    parts = _TREE.split("%s")
+    event = F.concat(F.lit(parts[0]), *(c for part in parts[1:] for c in (old, F.lit(part))))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", V.renamed_values(event, "POSITION_CLOSE", "POSITION_CLOSED").alias("event"))
 
 
 @query(f"WITH {TICKS}, q AS (SELECT symbol, max(ts_ms) AS last_ms, count(*) AS n FROM ticks GROUP BY 1), z AS (SELECT max(ts_ms) AS now_ms FROM ticks) SELECT v.feed, CASE WHEN q.last_ms IS NULL THEN 'NO_DATA' WHEN (now_ms - last_ms) / 1000 > v.limit_s THEN 'STALE' ELSE 'ONLINE' END AS health, coalesce(n, 0) AS rows FROM (VALUES ('click', 60), ('view', 3600), ('purchase', 1), ('bond', 60)) v(feed, limit_s) LEFT JOIN q ON q.symbol = v.feed, z")
