@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,18 +98,14 @@ def resolve(patterns: DataFrame, bars: DataFrame, most_bars: int = 36, width: in
 def zones(pivots: DataFrame, width: float, period: str = "period") -> DataFrame:
     """Pivot prices in order, cut where a price is over `width` above its zone's first: mean price, touches, strength, bounds.
 
-    One group per symbol and period, whose pivots are few; sequential within it, as a zone's head decides its end.
+    A fold over one array of a symbol and period, whose pivots are few; zones are numbered from 0 by price. Null prices are left out.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["price", "start_ms"])
-        heads, head, n = [], None, -1
-        for p in pdf["price"]:
-            if head is None or p - head > width:
-                head, n = p, n + 1
-            heads.append(n)
-        out = pdf.assign(zone=heads).groupby("zone").agg(price=("price", "mean"), touches=("start_ms", "nunique"), low=("price", "min"), high=("price", "max")).reset_index()
-        out["strength"] = out["touches"].clip(upper=5)
-        return out.assign(symbol=pdf["symbol"].iloc[0], **{period: pdf[period].iloc[0]})[["symbol", period, "zone", "price", "touches", "strength", "low", "high"]]
-
-    return pivots.groupBy("symbol", period).applyInPandas(run, f"symbol string, {period} long, zone long, price double, touches long, strength long, low double, high double")
+    from tidemark.operators.levels import heads, let
+
+    of = pivots.where("price IS NOT NULL").groupBy("symbol", period).agg(F.sort_array(F.collect_list(F.struct("price", "start_ms"))).alias("p"))
+    marked = F.arrays_zip(F.col("p").alias("p"), heads(F.transform("p", lambda p: p.price), F.lit(width)).alias("head"))
+    groups = let(marked, lambda m: F.transform(F.array_distinct(F.transform(m, lambda x: x["head"])), lambda h: F.transform(F.filter(m, lambda x: x["head"] == h), lambda x: x["p"])))
+    of = of.select("symbol", period, F.posexplode(groups).alias("zone", "g"))
+    prices, touches = F.transform("g", lambda p: p.price), F.size(F.array_distinct(F.transform("g", lambda p: p.start_ms))).cast("long")
+    mean = F.aggregate(prices, F.lit(0.0), lambda a, p: a + p) / F.size("g")
+    return of.select("symbol", F.col(period).cast("long").alias(period), F.col("zone").cast("long").alias("zone"), mean.alias("price"), touches.alias("touches"), F.least(touches, F.lit(5)).cast("long").alias("strength"), F.array_min(prices).alias("low"), F.array_max(prices).alias("high"))

@@ -290,7 +290,9 @@ def head_shoulders_scan(s, d):
     return P.head_shoulders(P.alternate(P.fractal_pivots(bars(s, d))), 10.0).select("symbol", "pattern", "first_ms", "end_ms", r("neckline"))
 
 
-@query()
+@query(f"""{WITH.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_PIV}, zo AS (SELECT *, start_ms // 604800000 AS period, row_number() OVER (PARTITION BY symbol, start_ms // 604800000 ORDER BY price, start_ms) AS rn FROM pivots),
+ zh AS (SELECT symbol, period, rn, price AS head FROM zo WHERE rn = 1 UNION ALL SELECT o.symbol, o.period, o.rn, CASE WHEN o.price - h.head <= 5 THEN h.head ELSE o.price END FROM zh h JOIN zo o ON o.symbol = h.symbol AND o.period = h.period AND o.rn = h.rn + 1)
+SELECT symbol, CAST(period AS BIGINT) AS period, dense_rank() OVER (PARTITION BY symbol, period ORDER BY head) - 1 AS zone, round(avg(price), 6) AS price, count(DISTINCT start_ms) AS touches, least(5, count(DISTINCT start_ms)) AS strength, round(min(price), 6) AS low, round(max(price), 6) AS high FROM zo JOIN zh USING (symbol, period, rn) GROUP BY symbol, period, head""")
 def zone_clustering(s, d):
     p = P.fractal_pivots(bars(s, d)).withColumn("period", F.floor(F.col("start_ms") / (7 * T.DAY)))
     z = P.zones(p, 5.0)
