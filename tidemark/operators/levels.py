@@ -64,11 +64,10 @@ def alternating(found: Column) -> Column:
     return F.aggregate(found, F.filter(found, lambda p: F.lit(False)), add)
 
 
-def frame_pivots(bars: DataFrame, lookback: int) -> DataFrame:
-    """`bars` (symbol, start_ms, close_ms, open, high, low, close) with i, atr and `pivots`: those that its last `lookback` bars show.
+def marked(bars: DataFrame) -> DataFrame:
+    """`bars` (symbol, start_ms, open, high, low, close) with number i, atr and `pivot` (i, start_ms, kind, price), null where a bar is none.
 
-    A pivot's high (low) is strictly beyond that of two bars on either side by PROMINENCE of its bar's ATR; a bar that is both is neither. None
-    are given while one of the bars has no ATR above 0. Spaced and alternating, oldest first, as (i, start_ms, kind, price).
+    A pivot's high (low) is strictly beyond that of two bars on either side by PROMINENCE of its bar's ATR; a bar that is both is neither.
     """
     w = by_key()
     around = lambda c: [f(c, k).over(w) for f in (F.lag, F.lead) for k in (1, 2)]
@@ -77,12 +76,21 @@ def frame_pivots(bars: DataFrame, lookback: int) -> DataFrame:
     top = (F.col("high") > F.col("__h")) & (F.col("high") - F.col("__h") + 1e-12 >= need)
     low = (F.col("low") < F.col("__l")) & (F.col("__l") - F.col("low") + 1e-12 >= need)
     one = lambda kind, c: F.struct("i", "start_ms", F.lit(kind).alias("kind"), F.col(c).alias("price"))
-    df = df.withColumn("__p", F.when(top & ~low, one("HIGH", "high")).when(low & ~top, one("LOW", "low")))
+    return df.withColumn("pivot", F.when(top & ~low, one("HIGH", "high")).when(low & ~top, one("LOW", "low"))).drop("__h", "__l")
+
+
+def frame_pivots(bars: DataFrame, lookback: int) -> DataFrame:
+    """`bars` with i, atr and `pivots`: those of `marked` that a bar's last `lookback` bars show, spaced and alternating, oldest first.
+
+    None are given while one of these bars has no ATR above 0.
+    """
+    w = by_key()
+    df = marked(bars)
     # The two bars on either side have to be among those looked at, so a pivot may stand from the third to the third last.
-    seen = F.collect_list("__p").over(w.rowsBetween(3 - lookback, -2))
+    seen = F.collect_list("pivot").over(w.rowsBetween(3 - lookback, -2))
     ready = F.count(F.when(F.col("atr") > 0, 1)).over(last_rows(lookback)) == F.count(F.lit(1)).over(last_rows(lookback))
     df = df.withColumns({"__seen": seen, "__ready": ready})
-    return df.withColumn("pivots", alternating(spaced(F.filter("__seen", lambda p: F.col("__ready"))))).drop("__h", "__l", "__p", "__seen", "__ready")
+    return df.withColumn("pivots", alternating(spaced(F.filter("__seen", lambda p: F.col("__ready"))))).drop("pivot", "__seen", "__ready")
 
 
 def evidence(bars: DataFrame, recent: int = 9, fine_recent: int = 39) -> DataFrame:

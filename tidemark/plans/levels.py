@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.timebase import MINUTE
 from tidemark.operators import bars as B
 from tidemark.operators import levels as L
+from tidemark.operators import patterns as C
 from tidemark.operators import structure as P
 from tidemark.plans.base import TICKS, WITH, bars, bars_sql, query, ticks, written
 from tidemark.plans.market import _PIV
@@ -114,3 +116,80 @@ def available_pivots(s, d):
         "symbol", "start_ms", F.size("pivots").alias("n"), F.round(F.array_max(prices("LOW", lambda p: p.price < F.col("close"))), 6).alias("support"),
         F.round(F.array_min(prices("HIGH", lambda p: p.price > F.col("close"))), 6).alias("resistance"), F.when(F.size("pivots") > 0, F.element_at("pivots", -1).kind).alias("newest"),
     )
+
+
+#: Wide enough for the noise of the test tables; the defaults of `patterns.Continuation` are the production ones.
+_WIDE = C.Continuation(pole_atr=0.5, pole_bars=(1, 24), efficiency=0.1, retracement=(0.0, 1.5), bars=(3, 24), width_tolerance=0.8, parallel=0.2, pennant_width=0.9, balance=0.1, move_atr=0.05)
+
+_SERIES = f"""WITH {TICKS}, {bars_sql(5 * MINUTE)}, mv AS (SELECT *, row_number() OVER w AS i, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr, CAST(abs(close - lag(close) OVER w) AS DECIMAL(27, 8)) AS step,
+  greatest(lag(high, 1) OVER w, lag(high, 2) OVER w, lead(high, 1) OVER w, lead(high, 2) OVER w) AS nh, least(lag(low, 1) OVER w, lag(low, 2) OVER w, lead(low, 1) OVER w, lead(low, 2) OVER w) AS nl, lead(close_ms, 2) OVER w AS known FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY start_ms)),
+ ft AS (SELECT *, CASE WHEN i > 14 THEN sum(tr) OVER (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING) / 14 END AS atr, coalesce(sum(step) OVER (PARTITION BY symbol ORDER BY i), 0) AS path, avg(CASE WHEN ticks > 0 THEN ticks END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM mv),
+ pf AS (SELECT *, coalesce(high > nh AND high - nh + 1e-12 >= 0.2 * atr, false) AS up, coalesce(low < nl AND nl - low + 1e-12 >= 0.2 * atr, false) AS down FROM ft),
+ pa AS (SELECT symbol, i, start_ms, CASE WHEN up THEN 'HIGH' ELSE 'LOW' END AS kind, CASE WHEN up THEN high ELSE low END AS price, atr, close, path, known, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS island FROM pf WHERE up <> down),
+ pb AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY symbol, island ORDER BY i) % 2 = 1), pc AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY symbol ORDER BY i) = kind THEN 0 ELSE 1 END AS new FROM pb),
+ pd AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY i) AS run FROM pc), al AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY symbol, run ORDER BY CASE WHEN kind = 'HIGH' THEN -price ELSE price END, i) = 1)"""
+
+
+def _lead(n: int) -> str:
+    return ", ".join(f"lead({c}, {k}) OVER w AS {a}{k}" for k in range(n) for c, a in (("i", "i"), ("price", "p"), ("start_ms", "t"), ("atr", "a"), ("close", "c"), ("path", "l"), ("known", "n"), ("kind", "k")))
+
+
+def _unit(x: str) -> str:
+    return f"greatest(0.0, least(1.0, {x}))"
+
+
+_EVENT = """, fe AS (SELECT * FROM ev WHERE state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, i0 ORDER BY k) = 1)"""
+_CONTINUATION = f"""{_SERIES}, sq AS (SELECT symbol, {_lead(5)} FROM al WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+ m AS (SELECT *, CASE WHEN k0 = 'LOW' THEN 1 ELSE -1 END AS sign, greatest(a0, a1, a2, a3, a4) AS atr FROM sq WHERE i4 IS NOT NULL),
+ q AS (SELECT *, sign * p0 AS q0, sign * p1 AS q1, sign * p2 AS q2, sign * p3 AS q3, sign * p4 AS q4, CAST(l1 - l0 AS DOUBLE) AS path, sign * (c1 - c0) AS net FROM m),
+ g AS (SELECT *, q1 - q0 AS pole, CASE WHEN path > 0 AND net > 0 THEN least(1.0, net / path) ELSE 0.0 END AS eff, (q3 - q1) / (i3 - i1) AS near, (q4 - q2) / (i4 - i2) AS far, q1 - q2 AS w0, q3 - q4 AS w1 FROM q),
+ h AS (SELECT *, (q1 - least(q2, q4)) / nullif(pole, 0) AS retr, w1 / nullif(w0, 0) AS narrowed, abs(near) * (i3 - i1) AS nm, abs(far) * (i4 - i2) AS fm, least(abs(near), abs(far)) / nullif(greatest(abs(near), abs(far)), 0) AS flat FROM g),
+ f AS (SELECT *, least(nm, fm) / nullif(greatest(nm, fm), 0) AS balance FROM h WHERE i1 - i0 BETWEEN 1 AND 24 AND i4 - i1 BETWEEN 3 AND 24 AND pole > 0 AND pole >= 0.5 * atr AND eff >= 0.1 AND retr BETWEEN 0 AND 1.5 AND w0 > 0 AND w1 > 0 AND least(nm, fm) >= 0.05 * atr),
+ ok AS (SELECT *, CASE WHEN near < 0 AND far < 0 AND flat >= 0.2 AND narrowed BETWEEN 1 - CAST(0.8 AS DOUBLE) AND 1 + CAST(0.8 AS DOUBLE) THEN 'FLAG' WHEN near < 0 AND far > 0 AND narrowed < 1 AND narrowed <= 0.9 AND balance >= 0.1 THEN 'PENNANT' END AS what FROM f),
+ b AS (SELECT o.*, s.i - i4 AS k, s.start_ms AS event_ms, sign * s.close AS cl, s.open AS bo, s.close AS bc, s.ticks AS bt, usual, q3 + near * (s.i - i3) AS nl, q4 + far * (s.i - i4) AS fl FROM ok o JOIN pf s ON s.symbol = o.symbol AND s.i > i4 AND s.i <= i4 + 13 WHERE what IS NOT NULL),
+ ev AS (SELECT symbol, i0, k, event_ms, CASE WHEN k > 12 OR nl <= fl THEN 'EXPIRED' WHEN cl < fl - 0.2 * atr THEN 'INVALIDATED' WHEN cl > nl + 0.05 * atr THEN 'CONFIRMED' END AS state, (cl - nl) / atr AS strength, coalesce(bt >= usual * 1.05, false) AS vol, sign * (bc - bo) >= 0.5 * atr AS mom FROM b){_EVENT}
+SELECT o.symbol, CASE WHEN sign > 0 THEN 'BULL_' ELSE 'BEAR_' END || what AS pattern, t0 AS first_ms, t4 AS end_ms, n4 AS known_ms, coalesce(state, 'CANDIDATE') AS state, event_ms, CAST(CASE WHEN state IS NOT NULL THEN sign END AS INT) AS side,
+ round(greatest(0, least(100, 12.5 * ({_unit('pole / atr / 1.0')} + eff) + 15 * {_unit('1 - abs(retr - 0.75) / 0.75')} + 10 * {_unit('1 - abs(i4 - i1 - 13.5) / 10.5')} + 25 * {_unit(f"CASE WHEN what = 'FLAG' THEN (flat + {_unit('1 - abs(narrowed - 1) / 0.8')}) / 2 ELSE (1 - narrowed + balance) / 2 END")}
+  + CASE WHEN state = 'CONFIRMED' THEN 15 * {_unit('strength')} + CASE WHEN vol THEN 5 ELSE 0 END + CASE WHEN mom THEN 5 ELSE 0 END ELSE 0 END)), 6) AS quality, row_number() OVER (PARTITION BY o.symbol ORDER BY o.i0 DESC) = 1 AS newest FROM ok o LEFT JOIN fe e ON e.symbol = o.symbol AND e.i0 = o.i0 WHERE what IS NOT NULL"""
+
+
+def _shown(df):
+    return df.withColumn("quality", F.round("quality", 6))
+
+
+@query(_CONTINUATION)
+def continuation_patterns(s, d):
+    """M2: flags and pennants over five pivots, with the close that decides each."""
+    return _shown(C.continuation(bars(s, d, 5 * MINUTE), _WIDE))
+
+
+def _line(n: str, a: str, b: str, c: str) -> str:
+    x, y = [f"(CAST(i{k} - i0 AS DOUBLE))" for k in (a, b, c)], [f"p{k}" for k in (a, b, c)]
+    return f"[{', '.join(x)}] AS {n}x, [{', '.join(y)}] AS {n}y"
+
+
+_CONVERGENCE = f"""{_SERIES}, sq AS (SELECT symbol, {_lead(6)} FROM al WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+ m AS (SELECT *, CAST(i5 - i0 AS DOUBLE) AS span, greatest(a0, a1, a2, a3, a4, a5) AS atr, {_line('e', '0', '2', '4')}, {_line('o', '1', '3', '5')} FROM sq WHERE i5 IS NOT NULL),
+ n AS (SELECT *, CASE WHEN k0 = 'HIGH' THEN ex ELSE ox END AS hx, CASE WHEN k0 = 'HIGH' THEN ey ELSE oy END AS hy, CASE WHEN k0 = 'HIGH' THEN ox ELSE ex END AS lx, CASE WHEN k0 = 'HIGH' THEN oy ELSE ey END AS ly FROM m),
+ r0 AS (SELECT *, list_avg(hx) AS hmx, list_avg(hy) AS hmy, list_avg(lx) AS lmx, list_avg(ly) AS lmy FROM n),
+ r1 AS (SELECT *, ((hx[1] - hmx) * (hy[1] - hmy) + (hx[2] - hmx) * (hy[2] - hmy) + (hx[3] - hmx) * (hy[3] - hmy)) / ((hx[1] - hmx) ** 2 + (hx[2] - hmx) ** 2 + (hx[3] - hmx) ** 2) AS hs,
+  ((lx[1] - lmx) * (ly[1] - lmy) + (lx[2] - lmx) * (ly[2] - lmy) + (lx[3] - lmx) * (ly[3] - lmy)) / ((lx[1] - lmx) ** 2 + (lx[2] - lmx) ** 2 + (lx[3] - lmx) ** 2) AS ls FROM r0),
+ r2 AS (SELECT *, hmy - hs * hmx AS hc, lmy - ls * lmx AS lc FROM r1),
+ r3 AS (SELECT *, sqrt(((hy[1] - hs * hx[1] - hc) ** 2 + (hy[2] - hs * hx[2] - hc) ** 2 + (hy[3] - hs * hx[3] - hc) ** 2) / 3) AS hr, sqrt(((ly[1] - ls * lx[1] - lc) ** 2 + (ly[2] - ls * lx[2] - lc) ** 2 + (ly[3] - ls * lx[3] - lc) ** 2) / 3) AS lr, hs / atr AS up, ls / atr AS low, hc - lc AS w0, (hc - lc) / nullif(ls - hs, 0) AS apex FROM r2),
+ r4 AS (SELECT *, low - up AS apart, (w0 - (ls - hs) * span) / nullif(w0, 0) AS width, apex - span AS back, CASE WHEN abs(up) <= 0.03 AND low >= 0.05 THEN 'ASCENDING_TRIANGLE' WHEN abs(low) <= 0.03 AND up <= -0.05 THEN 'DESCENDING_TRIANGLE' WHEN up <= -0.05 AND low >= 0.05 THEN 'SYMMETRICAL_TRIANGLE' WHEN up >= 0.05 AND low > up THEN 'RISING_WEDGE' WHEN low <= -0.05 AND up < low THEN 'FALLING_WEDGE' END AS pattern FROM r3),
+ ok AS (SELECT * FROM r4 WHERE pattern IS NOT NULL AND span BETWEEN 8 AND 72 AND greatest(hr, lr) <= 0.25 * atr AND apart >= 0.02 AND w0 > 0 AND width > 0 AND width <= 0.8 AND back >= 1 AND back <= 2 * span),
+ b AS (SELECT o.*, s.i - i5 AS k, s.start_ms AS event_ms, s.open AS bo, s.close AS bc, s.ticks AS bt, usual, hc + hs * (s.i - i0) AS ub, lc + ls * (s.i - i0) AS lb, s.i - i0 AS x, greatest(0.01, 0.05 * o.atr) AS buf FROM ok o JOIN pf s ON s.symbol = o.symbol AND s.i > i5 AND s.i <= i5 + 13),
+ sd AS (SELECT *, CASE WHEN bc > ub + buf THEN 1 WHEN bc < lb - buf THEN -1 END AS side FROM b),
+ ev AS (SELECT symbol, i0, k, event_ms, side, CASE WHEN k > 12 OR apex - x < 2 OR lb <= 0 OR ub <= lb THEN 'EXPIRED' WHEN (pattern = 'ASCENDING_TRIANGLE' AND side = -1) OR (pattern = 'DESCENDING_TRIANGLE' AND side = 1) THEN 'INVALIDATED' WHEN side IS NOT NULL THEN 'CONFIRMED' END AS state,
+  CASE WHEN side > 0 THEN bc - ub ELSE lb - bc END / atr AS strength, coalesce(bt >= usual * 1.05, false) AS vol, side * (bc - bo) >= 0.5 * atr AS mom FROM sd){_EVENT},
+ z AS (SELECT o.*, e.state, e.event_ms, e.side, e.strength, e.vol, e.mom, e.k, {_unit('apart / 0.04')} AS drawn, {_unit("CASE pattern WHEN 'ASCENDING_TRIANGLE' THEN low WHEN 'DESCENDING_TRIANGLE' THEN -up ELSE least(abs(up), abs(low)) END / 0.1")} AS lean, CASE pattern WHEN 'ASCENDING_TRIANGLE' THEN abs(up) WHEN 'DESCENDING_TRIANGLE' THEN abs(low) END AS flat FROM ok o LEFT JOIN fe e ON e.symbol = o.symbol AND e.i0 = o.i0)
+SELECT symbol, pattern, t0 AS first_ms, t5 AS end_ms, n5 AS known_ms, coalesce(state, 'CANDIDATE') AS state, event_ms, CAST(CASE WHEN state <> 'EXPIRED' THEN side END AS INT) AS side,
+ round(greatest(0, least(100, 20 * ({_unit('1 - hr / (0.25 * atr)')} + {_unit('1 - lr / (0.25 * atr)')}) / 2 + 15 * CASE WHEN flat IS NOT NULL THEN ({_unit('1 - flat / 0.03')} + lean + drawn) / 3 ELSE (lean + drawn) / 2 END + 15 * drawn + 10 * {_unit('1 - abs(span - 40) / 32')} + 15 * {_unit('1 - width')}
+  + 10 * CASE WHEN state = 'CONFIRMED' THEN {_unit('1 - abs(k / back - 0.65) / 0.65')} ELSE {_unit('1 - abs(back / span - 0.75) / 0.75')} END + CASE WHEN state = 'CONFIRMED' THEN 10 * {_unit('strength')} + CASE WHEN vol THEN 2.5 ELSE 0 END + CASE WHEN mom THEN 2.5 ELSE 0 END ELSE 0 END)), 6) AS quality,
+ row_number() OVER (PARTITION BY symbol ORDER BY i0 DESC) = 1 AS newest FROM z"""
+
+
+@query(_CONVERGENCE)
+def convergence_patterns(s, d):
+    """M3: triangles and wedges over six pivots, with the close that decides each."""
+    return _shown(C.convergence(bars(s, d, 5 * MINUTE)))
