@@ -73,8 +73,10 @@ def marked(bars: DataFrame) -> DataFrame:
     around = lambda c: [f(c, k).over(w) for f in (F.lag, F.lead) for k in (1, 2)]
     df = simple_dmi(bars).withColumns({"i": F.row_number().over(w), "__h": F.greatest(*around("high")), "__l": F.least(*around("low"))})
     need = PROMINENCE * F.col("atr")
-    top = (F.col("high") > F.col("__h")) & (F.col("high") - F.col("__h") + 1e-12 >= need)
-    low = (F.col("low") < F.col("__l")) & (F.col("__l") - F.col("low") + 1e-12 >= need)
+    # The greatest of some neighbours passes over those that are not there yet.
+    four = F.lag("high", 2).over(w).isNotNull() & F.lead("high", 2).over(w).isNotNull()
+    top = four & (F.col("high") > F.col("__h")) & (F.col("high") - F.col("__h") + 1e-12 >= need)
+    low = four & (F.col("low") < F.col("__l")) & (F.col("__l") - F.col("low") + 1e-12 >= need)
     one = lambda kind, c: F.struct("i", "start_ms", F.lit(kind).alias("kind"), F.col(c).alias("price"))
     return df.withColumn("pivot", F.when(top & ~low, one("HIGH", "high")).when(low & ~top, one("LOW", "low"))).drop("__h", "__l")
 

@@ -125,7 +125,7 @@ _SERIES = f"""WITH {TICKS}, {bars_sql(5 * MINUTE)}, mv AS (SELECT *, row_number(
   greatest(lag(high, 1) OVER w, lag(high, 2) OVER w, lead(high, 1) OVER w, lead(high, 2) OVER w) AS nh, least(lag(low, 1) OVER w, lag(low, 2) OVER w, lead(low, 1) OVER w, lead(low, 2) OVER w) AS nl, lead(close_ms, 2) OVER w AS known FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY start_ms)),
  ft AS (SELECT *, CASE WHEN i > 14 THEN sum(tr) OVER (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING) / 14 END AS atr, coalesce(sum(step) OVER (PARTITION BY symbol ORDER BY i), 0) AS path, avg(CASE WHEN ticks > 0 THEN ticks END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM mv),
  pf AS (SELECT *, coalesce(high > nh AND high - nh + 1e-12 >= 0.2 * atr, false) AS up, coalesce(low < nl AND nl - low + 1e-12 >= 0.2 * atr, false) AS down FROM ft),
- pa AS (SELECT symbol, i, start_ms, CASE WHEN up THEN 'HIGH' ELSE 'LOW' END AS kind, CASE WHEN up THEN high ELSE low END AS price, atr, close, path, known, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS island FROM pf WHERE up <> down),
+ pa AS (SELECT symbol, i, start_ms, CASE WHEN up THEN 'HIGH' ELSE 'LOW' END AS kind, CASE WHEN up THEN high ELSE low END AS price, atr, close, path, known, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS island FROM pf WHERE up <> down AND known IS NOT NULL),
  pb AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY symbol, island ORDER BY i) % 2 = 1), pc AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY symbol ORDER BY i) = kind THEN 0 ELSE 1 END AS new FROM pb),
  pd AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY i) AS run FROM pc), al AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY symbol, run ORDER BY CASE WHEN kind = 'HIGH' THEN -price ELSE price END, i) = 1)"""
 
