@@ -86,6 +86,31 @@ def test_first_zone_wins_a_tie_and_no_evidence_gives_no_zone(spark):
     assert not got[2]
 
 
+def test_signed_values_make_zones_too(spark):
+    rows = [(0, "LOW", 0.0, 1, "H1", "a", 1, 1), (1, "LOW", 0.25, 2, "H1", "a", 1, 1), (2, "HIGH", -3.0, 3, "H1", "a", 1, 1), (3, "LOW", None, 4, "H1", "a", 1, 1), (4, "LOW", float("-inf"), 5, "H1", "a", 1, 1)]
+    df = spark.createDataFrame([(rows,)], f"evidence {levels.EVIDENCE}")
+    (got,) = df.select(levels.merge_nearest(F.col("evidence"), F.lit(2.0), signed=True).alias("s"), levels.merge_nearest(F.col("evidence"), F.lit(2.0)).alias("p")).collect()
+    assert [(z.kind, z.price, z.evidence) for z in got.s] == [("LOW", 0.125, 2), ("HIGH", -3.0, 1)]
+    assert [(z.kind, z.price, z.evidence) for z in got.p] == [("LOW", 0.25, 1)]
+
+
+def test_zones_of_zero_values_agree_with_the_sql(spark, tmp_path):
+    """Every few hours a low of 0, as in the events of sf0.1."""
+    import duckdb
+
+    from tidemark.plans.catalog import ORACLE, QUERIES
+
+    spark.sql(
+        "SELECT id AS event_id, CAST(timestamp_seconds(1704067200 + id * 300) AS TIMESTAMP_NTZ) AS ts, id % 7 AS user_id, 'view' AS event_type, IF(id % 97 = 0, 0D, CAST(pmod(id * 7919, 997) AS DOUBLE) / 100) AS value FROM range(900)"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["nearest_zone_merge"](spark, str(tmp_path))
+    names = ", ".join(got.columns)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows and rows == sorted(con.sql(f"SELECT {names} FROM ({ORACLE['nearest_zone_merge']})").fetchall())
+
+
 def test_a_group_ends_by_its_first_price(spark):
     # Each price is within 5 of the one before, so a chain would never end.
     rows = [("a", 0, 1000 * k, 100.0 + 3 * k) for k in range(6)] + [("a", 0, 9000, None)]

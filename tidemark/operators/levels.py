@@ -189,14 +189,15 @@ def cluster(evidence: Column, atr: Column, point: float = 0.01) -> Column:
     return F.when(atr > 0, by_price).otherwise(F.filter(both, lambda z: F.lit(False))).cast(ZONES)
 
 
-def merge_nearest(evidence: Column, atr: Column, point: float = 0.01) -> Column:
+def merge_nearest(evidence: Column, atr: Column, point: float = 0.01, signed: bool = False) -> Column:
     """Zones (MERGED) in order of making: each piece of evidence, by seq, joins the nearest zone of its kind within MERGE of ATR and moves its price.
 
     The zone made first wins a tie of distances. A zone's price is the mean weighted by `weight`; a time that is neither its first nor its last counts as a
     touch, and within EQUAL of ATR of the price before as an equal level. Evidence without a price above 0, a time above 0, a weight of 1 or a known kind is left out; no ATR above 0 gives no zones.
+    `signed` is for values that may be 0 or less; then any finite price counts.
     """
     reach, equal = F.greatest(F.lit(point), MERGE * atr) + 1e-9, F.greatest(F.lit(point), EQUAL * atr) + 1e-9
-    valid = F.filter(evidence, lambda e: e.kind.isin("HIGH", "LOW") & (e.price > 0) & ~F.isnan(e.price) & (e.price < float("inf")) & (e.at_ms > 0) & (e.weight >= 1) & (atr > 0))
+    valid = F.filter(evidence, lambda e: e.kind.isin("HIGH", "LOW") & (e.price > float("-inf") if signed else e.price > 0) & ~F.isnan(e.price) & (e.price < float("inf")) & (e.at_ms > 0) & (e.weight >= 1) & (atr > 0))
     ordered = F.transform(F.array_sort(F.transform(valid, lambda e: F.struct(e.seq.alias("seq"), e.alias("e")))), lambda x: x.e)
     flags = lambda e: {"h1": (e.frame == "H1") & e.source.contains("PIVOT"), "h4": (e.frame == "H4") & e.source.contains("PIVOT"), "m15": (e.frame == "M15") & e.source.contains("PIVOT")}
     more = lambda e: {"recent": e.source.startswith("RECENT_H1"), "consolidation": e.source.contains("CONSOLIDATION")}
