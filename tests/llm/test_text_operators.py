@@ -507,6 +507,40 @@ def test_sentencepiece_operator(spark):
     assert sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs.limit(0), sentencepiece_codec.model_bytes())).count() == 0
 
 
+def test_sentencepiece_compares_every_text(spark):
+    texts = [f"word{k} Zebra{k} and {k}" for k in range(450)] + HARD
+    docs = frame(spark, texts, ids="i", decoded="d").coalesce(1)
+    got = {r.doc_id: r for r in sentencepiece_codec.encode_documents(docs, sentencepiece_codec.model_bytes()).collect()}
+    assert all(got[k].checked and got[k].parity and got[k].decoded == (t or "") for k, t in enumerate(texts))
+
+
+def test_sentencepiece_takes_the_librarys_ids_where_a_chunk_differs():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_bytes())
+    want = [codec.reference.encode(t or "") for t in HARD]
+    texts = HARD + ["a  b ", " ", "  ", "▁a ▁ b", None, "plain words"]
+    ids, ends, agree = codec.encode_column(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want + [codec.reference.encode(t or "") for t in texts[len(HARD) :]] and agree.all()
+    assert codec.decode_column(ids, ends).to_pylist() == [codec.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+    lone = np.array([codec.reference.piece_to_id("<0xFF>")], np.int32)  # no UTF-8
+    assert codec.decode_column(np.r_[ids, lone], np.r_[ends, ends[-1] + 1]).to_pylist()[-1] == codec.decode(lone.tolist())
+
+    class Wrong:
+        """The tokenizer, but for one word."""
+
+        def __init__(self, right):
+            self.right = right
+
+        def encode_batch_fast(self, texts, **options):
+            return self.right.encode_batch_fast([t.replace("plain", "plane") for t in texts], **options)
+
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_bytes())
+    codec.tokens = Wrong(codec.tokens)
+    texts = ["other words"] * 199 + ["plain words", "words"]
+    ids, ends, agree = codec.encode_column(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == codec.reference.encode(texts)
+    assert agree.tolist() == [True] * 199 + [False, True]
+
+
 # mixing
 
 
