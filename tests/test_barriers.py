@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import barriers
+from tidemark.operators import barriers, joins
 
 
 def made(spark, seed=1):
@@ -53,3 +53,21 @@ def test_covers_are_exact_and_short(spark):
     for r in df.collect():
         got = [x for c in r.c for x in range(c.block * barriers.FAN**c.level, (c.block + 1) * barriers.FAN**c.level)]
         assert got == list(range(r.a + 1, r.b)) and len(r.c) <= 2 * barriers.FAN * (barriers.LEVELS - 1) + 5000 // barriers.FAN ** (barriers.LEVELS - 1) + 2
+
+
+def test_outcomes_are_made_of_blocks(spark):
+    """Anchors on and off the blocks' bounds, ticks on the bounds, a symbol without ticks and none; no anchor meets all its ticks."""
+    rng = random.Random(9)
+    ticks = [(rng.choice("ab"), rng.choice([rng.randrange(9000), 500 * rng.randrange(18)]), k, float(rng.randrange(100)), float(rng.randrange(9))) for k in range(600)]
+    anchors = [(f"n{k}", rng.choice("abc"), rng.choice([rng.randrange(9000), 500 * rng.randrange(18)]), 50.0) for k in range(80)] + [("none", None, 0, 1.0)]
+    spans = {"short": 500, "middle": 1250, "long": 4000}
+    df = joins.outcomes(spark.createDataFrame(anchors, "anchor_id string, symbol string, anchor_ms long, entry double"), spark.createDataFrame(ticks, "symbol string, ts_ms long, event_id long, mid double, spread double"), spans)
+    want = []
+    for ident, symbol, at, entry in anchors:
+        for name, span in spans.items():
+            t = sorted((x[1:] for x in ticks if x[0] == symbol and at < x[1] <= at + span))
+            mids = [x[2] for x in t]
+            want.append((ident, symbol, at, entry, name, *((mids[-1] - entry, max(mids) - entry, min(mids) - entry, max(x[3] for x in t), len(t)) if t else (None, None, None, None, 0))))
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]
