@@ -108,3 +108,21 @@ def test_no_late_row_vanishes(spark, tmp_path):
     assert sum(b[6] for b in before) + kept.where("ts_ms IS NOT NULL").count() == sum(v[6] for v in final.values())
     got = {b[:2]: tuple(b) for b in late.rebuilt(spark, path, everything, 1000).select("symbol", "start_ms", "open", "high", "low", "close", "ticks").collect()}
     assert got == final and {tuple(b) for b in before} != set(final.values())
+
+
+def test_outcomes_over_blocks_hold_no_ticks(spark, tmp_path):
+    """Ticks on and off the bounds of blocks, several files a batch: the same outcomes, of rows that do not grow with the ticks."""
+    rnd = random.Random(5)
+    ticks = [(rnd.choice("ab"), rnd.choice([rnd.randrange(20_000), 500 * rnd.randrange(40)]), k, float(rnd.randrange(90)), float(rnd.randrange(9))) for k in range(3000)] + [("a", 40_000, 9999, 1.0, 1.0)]
+    anchors = [("ab"[k % 2], f"n{k}", 500 * k + 500, 50.0) for k in range(40)]
+    t_schema, a_schema = "symbol string, ts_ms long, event_id long, mid double, spread double", "symbol string, anchor_id string, anchor_ms long, entry double"
+    spark.createDataFrame(ticks, t_schema).repartition(3).write.parquet(f"{tmp_path}/ticks")
+    spark.createDataFrame(anchors, a_schema).write.parquet(f"{tmp_path}/anchors")
+    assert stateful.in_blocks(spark.read.parquet(f"{tmp_path}/ticks").coalesce(1), 500).count() <= 2 * 41 + 1
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+    out = stateful.outcomes(read("anchors", a_schema), read("ticks", t_schema), {"short": 500, "long": 3000}, lanes=2, base=500)
+    got = sorted(tuple(r) for rows, _ in batches(spark, out, str(tmp_path / "progress")) for r in rows)
+    want = joins.outcomes(spark.createDataFrame(anchors, a_schema), spark.createDataFrame(ticks, t_schema), {"short": 500, "long": 3000})
+    assert got == sorted(map(tuple, want.select("anchor_id", "symbol", "anchor_ms", "horizon", "ret", "mfe", "mae", "max_spread", "n_ticks").collect()))
+    with pytest.raises(ValueError):
+        stateful.outcomes(read("anchors", a_schema), read("ticks", t_schema), {"short": 700}, base=500)

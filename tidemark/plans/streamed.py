@@ -23,7 +23,7 @@ def stream_progressive_outcomes(s, d):
     """The outcomes of all anchors whose horizon the stream has passed, each given when it has."""
     path = scratch(s)
     a = bars(s, d).select(F.concat_ws("-", "symbol", F.col("start_ms").cast("string")).alias("anchor_id"), "symbol", F.col("close_ms").alias("anchor_ms"), F.col("close").alias("entry"))
-    out = stateful.outcomes(_stream(s, a, f"{path}/anchors"), _stream(s, ticks(s, d).select("symbol", "ts_ms", "event_id", "mid", "spread"), f"{path}/ticks"), HORIZONS, lanes=4)
+    out = stateful.outcomes(_stream(s, a, f"{path}/anchors"), _stream(s, ticks(s, d).select("symbol", "ts_ms", "event_id", "mid", "spread"), f"{path}/ticks"), HORIZONS, lanes=4, base=T.HOUR)
     with stateful.state_store(s):
         streams.drain(out, path)
     return s.read.parquet(f"{path}/data").select("anchor_id", "horizon", r("ret"), r("mfe"), r("mae"), r("max_spread"), "n_ticks")

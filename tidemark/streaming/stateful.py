@@ -6,11 +6,14 @@ work by event-time timers and let their state go when nothing can follow, so it
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -35,34 +38,39 @@ def event_time(ms: Column) -> Column:
 # ---- outcomes
 
 _OPEN = "anchor_id string, horizon string, anchor_ms long, until_ms long, price double, last_ms long, last_id long, last double, high double, low double, spread double, n long"
-_TICK = "ts_ms long, event_id long, mid double, spread double"
+#: Ticks of a block: the newest one's time, id and price, the extremes, and how many there are.
+_BLOCK = "ts_ms long, event_id long, mid double, high double, low double, spread double, n long"
+#: Rows of blocks that a task merges again, and that it holds at most.
+MERGED, HELD = 20_000, 200_000
 _OUTCOME = "symbol string, lane int, anchor_id string, anchor_ms long, horizon string, ret double, mfe double, mae double, max_spread double, n_ticks long"
 
 
 class _Outcomes(StatefulProcessor):
-    """Open (anchor, horizon) pairs of a key with what their ticks say so far, and the ticks that a later anchor may still need."""
+    """Open (anchor, horizon) pairs of a key with what their ticks say so far, and the blocks of ticks that a later anchor may still need."""
 
     def __init__(self, horizons: dict[str, int]):
         self.horizons = horizons
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open, self.ticks = handle.getListState("open", _OPEN), handle.getListState("ticks", _TICK)
+        self.open, self.ticks = handle.getListState("open", _OPEN), handle.getListState("ticks", _BLOCK)
 
     def handleInputRows(self, key, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
         new = pd.concat(list(rows), ignore_index=True)
         asked, fresh = new[new["anchor_id"].notna()], new[new["anchor_id"].isna()]
-        ticks = [(int(t.ts_ms), int(t.event_id), float(t.mid), float(t.spread)) for t in fresh.itertuples()]
+        ticks = [(int(t.ts_ms), int(t.event_id), float(t.mid), float(t.high), float(t.low), float(t.spread), int(t.n)) for t in fresh.itertuples()]
         held = [tuple(t) for t in self.ticks.get()] if self.ticks.exists() else []
         ticks.sort()
-        open_now = [self._see(o, ticks) for o in (tuple(o) for o in self.open.get())] if self.open.exists() else []
+        times = [t[0] for t in ticks]
+        open_now = [self._see(tuple(o), ticks, times) for o in self.open.get()] if self.open.exists() else []
         if len(asked):
             both = sorted(held + ticks)
+            times = [t[0] for t in both]
             for a in asked.itertuples():
                 for name, span in self.horizons.items():
                     until = int(a.ts_ms) + span
-                    open_now.append(self._see((a.anchor_id, name, int(a.ts_ms), until, float(a.mid), None, None, None, None, None, None, 0), both))
+                    open_now.append(self._see((a.anchor_id, name, int(a.ts_ms), until, float(a.mid), None, None, None, None, None, None, 0), both, times))
                     self.handle.registerTimer(until)
         # Anchors at or before the watermark cannot come any more; ticks after it can be needed.
         self._keep(open_now, [t for t in held + ticks if t[0] > mark])
@@ -89,31 +97,64 @@ class _Outcomes(StatefulProcessor):
                 state.clear()
 
     @staticmethod
-    def _see(o: tuple, ticks: list[tuple]) -> tuple:
-        """`o` after the ticks (in order) that lie in (anchor, until]."""
-        times = [t[0] for t in ticks]
-        first, last = np.searchsorted(times, [o[2], o[3]], side="right")
+    def _see(o: tuple, ticks: list[tuple], times: list[int]) -> tuple:
+        """`o` after the blocks of ticks (in order, of these times) that lie in (anchor, until]."""
+        first, last = bisect_right(times, o[2]), bisect_right(times, o[3])
         inside = ticks[first:last]
         if not inside:
             return o
-        mids, newest = [t[2] for t in inside], inside[-1]
+        newest = inside[-1]
+        high, low, spread = max(t[3] for t in inside), min(t[4] for t in inside), max(t[5] for t in inside)
         if o[11] and (o[5], o[6]) > newest[:2]:
-            newest = (o[5], o[6], o[7], None)
-        high, low, spread = max(mids), min(mids), max(t[3] for t in inside)
+            newest = (o[5], o[6], o[7])
         if o[11]:
             high, low, spread = max(high, o[8]), min(low, o[9]), max(spread, o[10])
-        return (*o[:5], newest[0], newest[1], newest[2], high, low, spread, o[11] + len(inside))
+        return (*o[:5], newest[0], newest[1], newest[2], high, low, spread, o[11] + sum(t[6] for t in inside))
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Blocks of a symbol and number as one row each; the newest tick is the last by time and id."""
+    every = pc.ScalarAggregateOptions(skip_nulls=False)
+    of = {"ts_ms": "last", "event_id": "last", "mid": "last", "high": "max", "low": "min", "spread": "max", "n": "sum"}
+    out = table.sort_by([("ts_ms", "ascending"), ("event_id", "ascending")]).group_by(["symbol", "block"], use_threads=False).aggregate([(c, f, every) for c, f in of.items()])
+    return out.select(["symbol", "block", *(f"{c}_{f}" for c, f in of.items())]).rename_columns(["symbol", "block", *of])
+
+
+def in_blocks(ticks: DataFrame, base: int) -> DataFrame:
+    """(symbol, _BLOCK): the ticks (symbol, ts_ms, event_id, mid, spread) of a task and batch, a row for those after a multiple of `base` up to the next."""
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+
+    def run(batches):
+        held, wanted = [], MERGED
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held.append(pa.table([t["symbol"], t["block"], t["ts_ms"], t["event_id"], t["mid"], t["mid"], t["mid"], t["spread"], pa.array(np.ones(len(t), np.int64))], names=["symbol", "block", *names]))
+            if sum(map(len, held)) >= wanted:
+                held = [_merged(pa.concat_tables(held))]
+                wanted = len(held[0]) + MERGED
+                if len(held[0]) > HELD:
+                    yield from held.pop().select(["symbol", *names]).combine_chunks().to_batches()
+                    wanted = MERGED
+        if held:
+            yield from _merged(pa.concat_tables(held)).select(["symbol", *names]).combine_chunks().to_batches()
+
+    numbered = ticks.where("ts_ms IS NOT NULL").select("symbol", F.floor((F.col("ts_ms") - 1) / base).alias("block"), "ts_ms", "event_id", F.col("mid").cast("double").alias("mid"), F.col("spread").cast("double").alias("spread"))
+    return numbered.mapInArrow(run, f"symbol string, {_BLOCK}")
 
 
-def outcomes(anchors: DataFrame, ticks: DataFrame, horizons: dict[str, int], delay: str = "0 seconds", lanes: int = 1) -> DataFrame:
+def outcomes(anchors: DataFrame, ticks: DataFrame, horizons: dict[str, int], delay: str = "0 seconds", lanes: int = 1, base: int = 1) -> DataFrame:
     """Outcomes as `operators.joins.outcomes` gives them, each once the watermark has reached the end of its horizon.
 
     `anchors` (symbol, anchor_id, anchor_ms, entry) and `ticks` (symbol, ts_ms, event_id, mid, spread) are streams. With more
     `lanes` the anchors of a symbol are dealt over so many keys, each of which sees all its ticks. Rows behind the watermark are late.
+    Where all anchors and horizons are multiples of `base` ms, keys see and hold ticks as blocks of that length, which the tasks that read them make.
     """
+    if any(h % base for h in horizons.values()):
+        raise ValueError("horizons must be multiples of base")
     lane = F.pmod(F.xxhash64("anchor_id"), F.lit(lanes)).cast("int")
-    a = anchors.select("symbol", lane.alias("lane"), F.col("anchor_ms").alias("ts_ms"), F.lit(None).cast("long").alias("event_id"), F.col("entry").alias("mid"), F.lit(None).cast("double").alias("spread"), "anchor_id")
-    t = ticks.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "ts_ms", "event_id", "mid", "spread", F.lit(None).cast("string").alias("anchor_id"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    a = anchors.select("symbol", lane.alias("lane"), F.col("anchor_ms").alias("ts_ms"), *none("long", "event_id", "n"), F.col("entry").alias("mid"), *none("double", "high", "low", "spread"), "anchor_id")
+    t = in_blocks(ticks, base).withColumns({"lane": F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))), "anchor_id": F.lit(None).cast("string")})
     both = a.unionByName(t).withColumn("at", event_time(F.col("ts_ms"))).withWatermark("at", delay)
     out = both.groupBy("symbol", "lane").transformWithStateInPandas(_Outcomes(horizons), _OUTCOME, "Append", "EventTime")
     return out.select("anchor_id", "symbol", "anchor_ms", "horizon", "ret", "mfe", "mae", "max_spread", "n_ticks")
