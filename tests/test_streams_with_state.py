@@ -126,3 +126,10 @@ def test_outcomes_over_blocks_hold_no_ticks(spark, tmp_path):
     assert got == sorted(map(tuple, want.select("anchor_id", "symbol", "anchor_ms", "horizon", "ret", "mfe", "mae", "max_spread", "n_ticks").collect()))
     with pytest.raises(ValueError):
         stateful.outcomes(read("anchors", a_schema), read("ticks", t_schema), {"short": 700}, base=500)
+
+
+def test_a_streams_table_is_written_by_the_tasks_that_read_it(spark, tmp_path):
+    from tidemark.plans.streamed import _stream
+
+    _stream(spark, spark.range(0, 1000, numPartitions=3), str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("part-*"))) == 3

@@ -12,9 +12,9 @@ from tidemark.streaming import late, stateful, streams
 _DONE = "anchor_ms + CASE horizon WHEN '1h' THEN 3600000 WHEN '4h' THEN 14400000 ELSE 86400000 END <= (SELECT max(ts_ms) FROM ticks)"
 
 
-def _stream(s, df, path, parts=1):
-    """A stream of `df`, written as a table before."""
-    df.repartition(parts).write.parquet(path)
+def _stream(s, df, path):
+    """A stream of `df`, written as a table before, by the tasks that read it."""
+    df.write.parquet(path)
     return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
 
 
