@@ -199,3 +199,15 @@ def test_json_faults_files_and_reports(spark, tmp_path):
     assert [r.k for r in spark.read.option("header", True).option("inferSchema", True).csv(f"file://{tmp_path}/report").collect()] == [1, 2]
     found = feeds.discover(spark, f"file://{tmp_path}", "*.csv").collect()
     assert found and all(r.bytes > 0 and r.path.endswith(".csv") for r in found)
+
+
+def test_ledgers_parts_grow_with_the_events(spark, monkeypatch):
+    """Twice as many rows a task as given make as many parts again; events that stand twice count once."""
+    rows = [(k // 3, 2 * k + n, f"{'fc'[n]}{k}", ("FILL", "CLOSE")[n], (k, -k - 1)[n], *((None,) * 5 if n == 0 else (5.0, -1.0, 4.0, 100.0, 0.04))) for k in range(300) for n in (0, 1) if n == 0 or k % 3 == 0]
+    df = spark.createDataFrame(rows + rows[::5], "trade_id long, seq long, event_id string, event string, deal long, gross double, costs double, net double, risk double, r double")
+    monkeypatch.setattr(episodes, "ROWS_A_TASK", 20)
+    assert episodes.parts_for(df) == 24 and episodes.parts_for(df.limit(0)) == 4
+    out = episodes.ledger(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [event_id" in plan and "RepartitionByExpression [trade_id" in plan and ", 24" in plan
+    assert sorted(map(tuple, out.collect())) == [(k, "CLOSED", 4.0, 0.04, 4) for k in range(100)]

@@ -59,14 +59,25 @@ def hysteresis(df: DataFrame, key: str, order: str, score: str, enter: float = 0
     return out.withColumn("regime", named(F.col("after"), ["ON" if on else "OFF" for on, _ in machine.states])).drop("before", "after", "entered", "age")
 
 
-def ledger(events: DataFrame) -> DataFrame:
+#: Rows that a task sorts or groups at once, where tables are dealt by their size.
+ROWS_A_TASK = 1_000_000
+
+
+def parts_for(df: DataFrame) -> int:
+    """Into how many parts `df` is dealt so that each has some ROWS_A_TASK rows, the session's number of shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_A_TASK))
+
+
+def ledger(events: DataFrame, parts: int | None = None) -> DataFrame:
     """One row a trade out of its events (trade_id, seq, event_id, event, deal, gross, costs, net, risk, r).
 
     The first row of an event id counts. A trade is in CONFLICT if one deal stands under several event ids, if it is closed
     twice, if gross and costs do not make net within 0.011, or if net / risk is not r within 0.001; REJECTED only
-    before any fill; else CLOSED, OPEN or PENDING.
+    before any fill; else CLOSED, OPEN or PENDING. Events are dealt into `parts` by event, then by trade, so that a task's share need not grow
+    with the table (`parts_for`, which counts rows).
     """
-    once = first_per(events, ["event_id"], ["seq"])
+    parts = parts or parts_for(events)
+    once = first_per(events.repartition(parts, "event_id"), ["event_id"], ["seq"]).repartition(parts, "trade_id")
     deal = once.where("deal IS NOT NULL").groupBy("trade_id", "deal").agg(F.count("*").alias("n")).where("n > 1").select("trade_id").distinct().withColumn("twice", F.lit(True))
     close = F.col("event") == "CLOSE"
     bad = close & ((F.abs(F.col("gross") + F.col("costs") - F.col("net")) > 0.011) | (F.abs(F.col("net") / F.col("risk") - F.col("r")) > 0.001) | F.col("net").isNull())
