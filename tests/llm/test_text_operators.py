@@ -211,6 +211,35 @@ def test_large_groups_around_the_threshold_leave_no_surplus(spark):
     assert 2 < len(want) < len(texts) and kept == want
 
 
+def test_pairs_compared_of_a_large_group_below_the_threshold(spark, monkeypatch):
+    rng, seen, write = random.Random(7), {}, common.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        seen[name] = out.count() if name == "more" else -1
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counted)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    # All but one in fifty of 400 have more changes than two similar ones may have between them.
+    texts = [varied(rng, words, 1 if k % 50 == 0 else rng.choice([5, 6, 7])) for k in range(400)]
+    kept = sorted(r.doc_id for r in near_copies.drop_near_copies(frame(spark, texts)).collect())
+    assert kept == jaccard_survivors(texts, 5, 0.8) and len(kept) > 300
+    assert seen["more"] < 10 * len(texts)
+
+
+def test_rare_shingles_find_every_similar_pair(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    texts = [varied(rng, words[rng.randint(0, 8) : rng.randint(100, 120)], rng.randint(0, 4)) for _ in range(80)] + ["", "a b", "a b c d e", None]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node long, comp long, text string")
+    scratch = common.Scratch(spark, "t")
+    found = {(r.a, r.b) for r in near_copies.sharing(scratch.write(near_copies.prefixes(rows, 5, 0.8, scratch), "rare"), 0.8).collect()}
+    sets = [near_copies.shingles(t, 5) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= found
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(-60, 60)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, common.Scratch(spark, "t")).collect()}

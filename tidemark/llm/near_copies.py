@@ -13,8 +13,9 @@ Pairs within SEGMENTS / 2 - 1 bits always share a key; of wider ones the chance
 the distances that near copies have (measured; see the README).
 
 Large groups stay linear: keys are dealt by ranges of (key, document), so a key that many documents have is split; a run of
-more than WIDE documents is linked to leaders first, verified links join documents to components, and only what is
-still in different components afterwards is compared pair by pair, in blocks.
+more than WIDE documents is linked to leaders first and verified links join documents to components. Documents of such a
+key that are still in different components are compared only where they share one of their rarest shingles, early enough
+for the similarity (prefix filtering, which is exact); texts just below the similarity differ in more than these.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ SEGMENTS, WIDTH, MAX_BITS = 72, 14, 151
 BITS = SEGMENTS * WIDTH
 #: Segments of a key, and of the whole chain that goes with it.
 KEY, CHAIN = 2, 6
-#: Documents with one key up to which all are compared at once, leaders tried in a longer run, documents in a block.
-WIDE, LEADERS, BLOCK = 64, 8, 2048
+#: Documents with one key up to which all are compared at once, leaders tried in a longer run, documents in a block,
+#: texts whose shingles are counted together.
+WIDE, LEADERS, BLOCK, TEXTS = 64, 8, 2048, 256
 #: Bits of the parity bitmap.
 PARITY = 1024
 
@@ -75,12 +77,21 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8))
 
 
-def describe(text: str | None, shingle: int) -> tuple[bytes, bytes, int, bytes]:
-    """Digest of the word sequence (A-Z lower-cased), fingerprint, distinct shingles, their parity bitmap."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each word among the distinct ones, and the hashes of these."""
     index: dict[bytes, int] = {}
     places = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+    return places, np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+
+
+def describe(text: str | None, shingle: int) -> tuple[bytes, bytes, int, bytes]:
+    """Digest of the word sequence (A-Z lower-cased), fingerprint, distinct shingles, their parity bitmap."""
+    words = words_of(text)
+    places, hashes = word_hashes(words)
     h = shingle_hashes(places, hashes, shingle)
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.packbits(np.r_[fingerprint(hashes), np.zeros(-BITS % 64, np.uint8)]).tobytes(), len(h), parity(h).tobytes()
 
@@ -189,23 +200,76 @@ def candidates(features: DataFrame) -> DataFrame:
 
 
 def rest_of(hot: DataFrame, features: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidates (a, b) among documents of different components that share one of the keys `hot` (key), a written table."""
-    rows = scratch.write(chains(features).join(small(hot), "key"), "hot-rows")
-    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n")
+    """(node, comp) of the documents that share one of the keys `hot` (key), a written table, with one of another component."""
+    rows = scratch.write(chains(features).join(small(hot), "key").select("key", "node", "comp"), "hot-rows")
+    several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return rows.join(several, "key").select("node", "comp").distinct()
+
+
+def least_common(x, y, similarity: float):
+    """Shingles that sets of `x` and `y` shingles have in common at least, if they have the similarity."""
+    return np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6)
+
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(h, node, comp, size, at): each text's rarest shingles, of which similar texts share one; `texts`, a written table, is (node, comp, text).
+
+    Shingles are ordered by the number of texts that hold them. Two sets with c elements in common share one of the
+    first |x| - c + 1 of the one and |y| - c + 1 of the other, and c is similarity * |x| at least. `at` is the place in this
+    order, from 0. A shingle that no other text holds takes a place but has no row. Texts are counted and ordered by
+    chunks of TEXTS, so that what most of them hold is shuffled once a chunk.
+    """
+    hashed = lambda part: [shingle_hashes(*word_hashes(words_of(t)), shingle) for t in part.column("text").to_pylist()]
+
+    def count(part: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate(hashed(part)), return_counts=True)
+        return pa.Table.from_arrays([pa.array(np.full(len(h), part.column("chunk")[0].as_py())), pa.array(h.view(np.int64)), pa.array(n)], ["chunk", "h", "n"])
+
+    def order(part: pa.Table, shared: pa.Table) -> pa.Table:
+        known, n = (shared.column(c).to_numpy() for c in ("h", "n"))
+        by = np.argsort(known)
+        known, n, out = known[by], n[by], [(np.zeros(0, np.int64),) * 5]
+        for node, comp, h in zip(part.column("node").to_pylist(), part.column("comp").to_pylist(), hashed(part)):
+            size, (_, _, held) = len(h), np.intersect1d(h.view(np.int64), known, assume_unique=True, return_indices=True)
+            alone = size - len(held)
+            first = held[np.lexsort((known[held], n[held]))][: max(0, size - int(np.ceil(similarity * size - 1e-6)) + 1 - alone)]
+            out.append((known[first], *(np.full(len(first), x) for x in (node, comp, size)), alone + np.arange(len(first))))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "node", "comp", "size", "at"])
+
+    chunks = texts.count() // TEXTS + 1
+    dealt = texts.select("node", "comp", "text", F.pmod(F.xxhash64("node"), F.lit(chunks)).alias("chunk"))
+    counts = scratch.write(dealt.groupBy("chunk").applyInArrow(count, "chunk long, h long, n long"), "more-counts")
+    totals = counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = counts.drop("n").join(totals, "h")
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(order, "h long, node long, comp long, size long, at long")
+
+
+def sharing(rare: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different components that share a shingle of `rare`, a written table of `prefixes`, early enough to be similar."""
+    several = rare.groupBy("h").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("p"), F.greatest(own, other).alias("q")))
-    dealt = rows.join(several, "key").select("node", "chain", "comp", "key", F.explode(pairs).alias("pair")).select("node", "chain", "comp", F.xxhash64("key", "pair.p", "pair.q").alias("grp"))
+    dealt = rare.join(several, "h").select("node", "comp", "size", "at", "h", F.explode(pairs).alias("pair")).select("node", "comp", "size", "at", F.xxhash64("h", "pair.p", "pair.q").alias("grp"))
 
     def compare(part: pa.Table) -> pa.Table:
-        node, chain, comp, group = (part.column(c).to_numpy() for c in ("node", "chain", "comp", "grp"))
-        _, end = runs(group)
-        rows, step, found = np.arange(len(node)), 1, [np.zeros((0, 2), np.int64)]
-        while len(rows := rows[rows + step < end[rows]]):
-            a = rows[comp[rows] != comp[rows + step]]
-            a = a[within(chain[a] ^ chain[a + step])]
-            found.append(np.stack([np.minimum(node[a], node[a + step]), np.maximum(node[a], node[a + step])], 1))
-            step += 1
+        node, comp, size, at, group = (part.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "size", "at", "grp"))
+        # What stands too late for the smallest set of the group that is large enough is too late for all.
+        begin, _ = runs(group)
+        smallest = np.minimum.reduceat(size, np.unique(begin))[np.unique(begin, return_inverse=True)[1]]
+        early = at + least_common(size, np.maximum(smallest, similarity * size), similarity) <= size
+        node, comp, size, at, group = (x[early] for x in (node, comp, size, at, group))
+        found = [np.zeros((0, 2), np.int64)]
+        if len(node):
+            _, end = runs(group)
+            rows, step = np.arange(len(node)), 1
+            while len(rows := rows[rows + step < end[rows]]):
+                a = rows[comp[rows] != comp[rows + step]]
+                b = a + step
+                least = least_common(size[a], size[b], similarity)
+                fits = (at[a] + least <= size[a]) & (at[b] + least <= size[b])
+                found.append(np.stack([np.minimum(node[a], node[b])[fits], np.maximum(node[a], node[b])[fits]], 1))
+                step += 1
         out = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
@@ -221,7 +285,7 @@ def measured(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFr
         bits = np.bitwise_count(words(2) ^ words(5)).sum(1, dtype=np.int64)
         x, y = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 6))
         # As many shingles in common as the similarity asks for, so at most so many that only one of the two has.
-        least = np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6)
+        least = least_common(x, y, similarity)
         fits = (bits <= MAX_BITS) & (np.minimum(x, y) >= least) & (np.bitwise_count(words(4) ^ words(7)).sum(1, dtype=np.int64) <= x + y - 2 * least)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["a", "b", "bits"]).filter(pa.array(fits))
 
@@ -230,7 +294,7 @@ def measured(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFr
 
 
 def shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
-    words = text.encode("utf-8", "replace").lower().split() if text else []
+    words = words_of(text)
     return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)}
 
 
@@ -277,12 +341,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     release(spark)
     pairs = scratch.write(measured(found.where("NOT hot"), features, similarity), "pairs")
 
-    def texts_of(links: DataFrame, name: str) -> DataFrame:
-        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
         wanted = scratch.write(rows.select("node", "sha").join(small(scratch.write(nodes, f"{name}-nodes")), "node", "left_semi"), f"{name}-wanted")
         return scratch.write(plain.select("sha", "text").join(small(wanted), "sha").dropDuplicates(["node"]).select("node", "text"), name)
 
-    texts = texts_of(pairs, "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "texts")
     close = scratch.write(nearest(pairs), "nearest")
     edges = scratch.write(similar(close, texts, shingle, similarity), "links-nearest")
 
@@ -302,9 +365,13 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     release(spark)
 
     joined = features.drop("comp").join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    more = scratch.write(rest_of(scratch.write(found.where("hot").select(F.col("a").alias("key")).distinct(), "hot"), joined, scratch), "more")
+    rest = scratch.write(rest_of(scratch.write(found.where("hot").select(F.col("a").alias("key")).distinct(), "hot"), joined, scratch), "rest")
+    texts = scratch.write(texts_of(rest.select("node"), "more-texts").join(small(rest), "node"), "rest-texts")
+    rare = scratch.write(prefixes(texts, shingle, similarity, scratch), "rare")
+    scratch.drop("more-texts", "more-counts")
+    more = scratch.write(sharing(rare, similarity), "more")
     more = scratch.write(measured(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), features, similarity), "more-pairs")
-    edges = edges.union(scratch.write(similar(more, texts_of(more, "more-texts"), shingle, similarity), "links-more"))
+    edges = edges.union(scratch.write(similar(more, texts, shingle, similarity), "links-more"))
     known = label(edges, "linked-3")
     release(spark)
 
