@@ -71,3 +71,27 @@ def test_outcomes_are_made_of_blocks(spark):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join") :]
+
+
+def test_crossings_ahead_of_every_tick(spark):
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice(["a", "b", None]), rnd.choice([k * 40, k * 40 + rnd.randrange(400), 20_000, 3_000, None]), rnd.choice([100 + rnd.gauss(0, 9), 100.0, None, float("nan")]), 100 + rnd.gauss(0, 9), rnd.choice(["bid", "ask"]), rnd.random() < 0.5, rnd.choice([100 + rnd.gauss(0, 12), 100.0, None])) for k in range(700)]
+    t = spark.createDataFrame(rows, "event_id long, symbol string, ts_ms long, bid double, ask double, of string, falls boolean, level double")
+    end = lambda falls: (F.col("of"), falls, F.col("level"))
+    for span in (1_000, 7_000, 10**6):
+        got = barriers.crossings_ahead(t, {"one": end(F.col("falls")), "other": end(~F.col("falls"))}, ["bid", "ask"], span).collect()
+        assert len(got) == len(rows)
+        of_id = {r.event_id: (r.one, r.other) for r in got}
+        for k, symbol, at, _, _, of, falls, level in rows:
+            ahead = [(ts, bid if of == "bid" else ask) for _, s, ts, bid, ask, *_ in rows if None not in (symbol, at, level, s, ts) and s == symbol and at < ts <= at + span]
+            ahead = [(ts, float("inf") if v != v else v) for ts, v in ahead if v is not None]
+            want = [min((ts for ts, v in ahead if (v <= level if down else v >= level)), default=None) for down in (falls, not falls)]
+            assert of_id[k] == tuple(want)
+    assert barriers.crossings_ahead(t.where("false"), {"one": end(F.col("falls"))}, ["bid", "ask"], 5).collect() == []
+
+
+def test_touches_of_all_ticks_are_found_without_pairs(spark, tiny):
+    from tidemark.plans.catalog import QUERIES
+
+    for name in ("stop_target_summary", "first_touch_barriers"):
+        assert "Join" not in QUERIES[name](spark, tiny)._jdf.queryExecution().toString()
