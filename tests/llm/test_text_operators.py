@@ -228,6 +228,26 @@ def test_pairs_compared_of_a_large_group_below_the_threshold(spark, monkeypatch)
     assert seen["more"] < 10 * len(texts)
 
 
+def test_rows_of_pairs_stay_few_where_a_group_shares_keys(spark, monkeypatch):
+    rng, seen, write = random.Random(10), {}, common.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        seen[name] = out.count() if name in ("candidates", "more") else -1
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counted)
+    # The same words in other orders have one fingerprint, and hardly a shingle in common; every fourth text has a near copy.
+    words, texts = [f"w{rng.randint(0, 10**6)}" for _ in range(120)], []
+    for k in range(40):
+        rng.shuffle(words)
+        texts += [" ".join(words)] if k % 4 else [" ".join(words), " ".join(words[:-1])]
+    kept = sorted(r.doc_id for r in near_copies.drop_near_copies(frame(spark, texts)).collect())
+    assert kept == jaccard_survivors(texts, 5, 0.8) and len(kept) == 40
+    pairs = len(texts) * (len(texts) - 1) // 2
+    assert seen["candidates"] < pairs // 3 and seen["more"] <= len(texts)
+
+
 def test_rare_shingles_find_every_similar_pair(spark):
     rng = random.Random(9)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]

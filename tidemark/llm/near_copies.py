@@ -15,7 +15,8 @@ the distances that near copies have (measured; see the README).
 Large groups stay linear: keys are dealt by ranges of (key, document), so a key that many documents have is split; a run of
 more than WIDE documents is linked to leaders first and verified links join documents to components. Documents of such a
 key that are still in different components are compared only where they share one of their rarest shingles, early enough
-for the similarity (prefix filtering, which is exact); texts just below the similarity differ in more than these.
+for the similarity (prefix filtering, which is exact), and where a small parity bitmap that goes along leaves it possible;
+texts just below the similarity differ in more than these. So a document meets a few others of each of its keys, however many have it.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ BITS = SEGMENTS * WIDTH
 KEY, CHAIN = 2, 6
 #: Documents with one key up to which all are compared at once, leaders tried in a longer run, documents in a block,
 #: texts whose shingles are counted together.
-WIDE, LEADERS, BLOCK, TEXTS = 64, 8, 2048, 256
-#: Bits of the parity bitmap.
-PARITY = 1024
+WIDE, LEADERS, BLOCK, TEXTS = 4, 8, 2048, 256
+#: The budget for a leader's chain. Whom no leader takes is compared by rare shingles, so this costs no link.
+LEADER_BITS = MAX_BITS // 4
+#: Bits of the parity bitmap, and of the small one that goes with each rare shingle.
+PARITY, SMALL_PARITY = 1024, 512
 
 _LANES = 16
 _STEPS = np.arange(1, _LANES + 1, dtype=np.uint64)
@@ -72,9 +75,9 @@ def shingle_hashes(places: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray
     return np.unique(out)
 
 
-def parity(h: np.ndarray) -> np.ndarray:
+def parity(h: np.ndarray, bits: int = PARITY) -> np.ndarray:
     """Bit k is the parity of the number of hashes that fall to k: two sets differ in as many elements as bits, or more."""
-    return np.packbits((np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8))
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -132,12 +135,12 @@ def chains(features: DataFrame) -> DataFrame:
     return map_batches(features.select("node", "comp", "fp"), run, "key long, node long, chain long, comp long")
 
 
-def within(differing: np.ndarray) -> np.ndarray:
+def within(differing: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
     """Of XORed chains, those whose cumulative differences stay within the proportional budgets at every length."""
     total, fits = np.zeros(len(differing), np.int64), np.ones(len(differing), bool)
     for n in range(KEY, CHAIN):
         total += np.bitwise_count(differing >> (WIDTH * (CHAIN - 1 - n)) & ((1 << WIDTH) - 1))
-        fits &= total <= (n + 1) * MAX_BITS // SEGMENTS
+        fits &= total <= (n + 1) * bits // SEGMENTS
     return fits
 
 
@@ -165,7 +168,7 @@ def first_links(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(rest):
             break
         lead = rest[runs(key[rest])[0]]
-        fits = within(chain[lead] ^ chain[rest])
+        fits = within(chain[lead] ^ chain[rest], LEADER_BITS)
         linked = fits & (lead != rest)
         found.append((lead[linked], rest[linked]))
         rest = rest[~fits]
@@ -212,12 +215,12 @@ def least_common(x, y, similarity: float):
 
 
 def prefixes(texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(h, node, comp, size, at): each text's rarest shingles, of which similar texts share one; `texts`, a written table, is (node, comp, text).
+    """(h, node, comp, size, at, bits): each text's rarest shingles, of which similar texts share one; `texts`, a written table, is (node, comp, text).
 
     Shingles are ordered by the number of texts that hold them. Two sets with c elements in common share one of the
     first |x| - c + 1 of the one and |y| - c + 1 of the other, and c is similarity * |x| at least. `at` is the place in this
-    order, from 0. A shingle that no other text holds takes a place but has no row. Texts are counted and ordered by
-    chunks of TEXTS, so that what most of them hold is shuffled once a chunk.
+    order, from 0, and `bits` the small parity bitmap of all the text's shingles. A shingle that no other text holds takes a
+    place but has no row. Texts are counted and ordered by chunks of TEXTS, so that what most of them hold is shuffled once a chunk.
     """
     hashed = lambda part: [shingle_hashes(*word_hashes(words_of(t)), shingle) for t in part.column("text").to_pylist()]
 
@@ -228,37 +231,39 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, scratch: Scratch
     def order(part: pa.Table, shared: pa.Table) -> pa.Table:
         known, n = (shared.column(c).to_numpy() for c in ("h", "n"))
         by = np.argsort(known)
-        known, n, out = known[by], n[by], [(np.zeros(0, np.int64),) * 5]
+        known, n, out, bits = known[by], n[by], [(np.zeros(0, np.int64),) * 5], []
         for node, comp, h in zip(part.column("node").to_pylist(), part.column("comp").to_pylist(), hashed(part)):
             size, (_, _, held) = len(h), np.intersect1d(h.view(np.int64), known, assume_unique=True, return_indices=True)
             alone = size - len(held)
             first = held[np.lexsort((known[held], n[held]))][: max(0, size - int(np.ceil(similarity * size - 1e-6)) + 1 - alone)]
             out.append((known[first], *(np.full(len(first), x) for x in (node, comp, size)), alone + np.arange(len(first))))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "node", "comp", "size", "at"])
+            bits += [parity(h, SMALL_PARITY).tobytes()] * len(first)
+        return pa.Table.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*out)), pa.array(bits, pa.binary())], ["h", "node", "comp", "size", "at", "bits"])
 
     chunks = texts.count() // TEXTS + 1
     dealt = texts.select("node", "comp", "text", F.pmod(F.xxhash64("node"), F.lit(chunks)).alias("chunk"))
     counts = scratch.write(dealt.groupBy("chunk").applyInArrow(count, "chunk long, h long, n long"), "more-counts")
     totals = counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     shared = counts.drop("n").join(totals, "h")
-    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(order, "h long, node long, comp long, size long, at long")
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(order, "h long, node long, comp long, size long, at long, bits binary")
 
 
 def sharing(rare: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of different components that share a shingle of `rare`, a written table of `prefixes`, early enough to be similar."""
+    """(a, b) of different components that share a shingle of `rare`, a written table of `prefixes`, early enough to be similar, and that their bitmaps do not rule out."""
     several = rare.groupBy("h").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("p"), F.greatest(own, other).alias("q")))
-    dealt = rare.join(several, "h").select("node", "comp", "size", "at", "h", F.explode(pairs).alias("pair")).select("node", "comp", "size", "at", F.xxhash64("h", "pair.p", "pair.q").alias("grp"))
+    dealt = rare.join(several, "h").select("node", "comp", "size", "at", "bits", "h", F.explode(pairs).alias("pair")).select("node", "comp", "size", "at", "bits", F.xxhash64("h", "pair.p", "pair.q").alias("grp"))
 
     def compare(part: pa.Table) -> pa.Table:
         node, comp, size, at, group = (part.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "size", "at", "grp"))
+        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
         # What stands too late for the smallest set of the group that is large enough is too late for all.
         begin, _ = runs(group)
         smallest = np.minimum.reduceat(size, np.unique(begin))[np.unique(begin, return_inverse=True)[1]]
         early = at + least_common(size, np.maximum(smallest, similarity * size), similarity) <= size
-        node, comp, size, at, group = (x[early] for x in (node, comp, size, at, group))
+        node, comp, size, at, group, bits = (x[early] for x in (node, comp, size, at, group, bits))
         found = [np.zeros((0, 2), np.int64)]
         if len(node):
             _, end = runs(group)
@@ -268,6 +273,8 @@ def sharing(rare: DataFrame, similarity: float) -> DataFrame:
                 b = a + step
                 least = least_common(size[a], size[b], similarity)
                 fits = (at[a] + least <= size[a]) & (at[b] + least <= size[b])
+                a, b, least = a[fits], b[fits], least[fits]
+                fits = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= size[a] + size[b] - 2 * least
                 found.append(np.stack([np.minimum(node[a], node[b])[fits], np.maximum(node[a], node[b])[fits]], 1))
                 step += 1
         out = np.unique(np.concatenate(found), axis=0)
@@ -347,9 +354,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "texts")
     close = scratch.write(nearest(pairs), "nearest")
-    edges = scratch.write(similar(close, texts, shingle, similarity), "links-nearest")
+    links = scratch.write(similar(close, texts, shingle, similarity), "links-nearest")
 
-    def label(links: DataFrame, name: str) -> DataFrame:
+    def label(links: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+        """The components of `links` and of what is joined already, of which each node's link to its component is enough."""
+        if known is not None:
+            links = links.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return scratch.write(components(links, Scratch(spark, "near-copies-components")), name)
 
     def apart(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -357,11 +367,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return joined.where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
 
-    known = label(edges, "linked")
+    known = label(links, "linked")
     others = scratch.write(apart(pairs, known).join(close, ["a", "b"], "left_anti"), "others")
-    edges = edges.union(scratch.write(similar(others, texts, shingle, similarity), "links-others"))
+    links = scratch.write(similar(others, texts, shingle, similarity), "links-others")
     scratch.drop("texts")
-    known = label(edges, "linked-2")
+    known = label(links, "linked-2", known)
     release(spark)
 
     joined = features.drop("comp").join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
@@ -371,8 +381,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     scratch.drop("more-texts", "more-counts")
     more = scratch.write(sharing(rare, similarity), "more")
     more = scratch.write(measured(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), features, similarity), "more-pairs")
-    edges = edges.union(scratch.write(similar(more, texts, shingle, similarity), "links-more"))
-    known = label(edges, "linked-3")
+    links = scratch.write(similar(more, texts, shingle, similarity), "links-more")
+    known = label(links, "linked-3", known)
     release(spark)
 
     named = rows.select("id", "sha", "digest").join(same, "digest").join(known, "node", "left").select("id", "sha", F.coalesce("component", "node").alias("component"))
