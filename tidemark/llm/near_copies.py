@@ -206,7 +206,7 @@ def rest_of(hot: DataFrame, features: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of the documents that share one of the keys `hot` (key), a written table, with one of another component."""
     rows = scratch.write(chains(features).join(small(hot), "key").select("key", "node", "comp"), "hot-rows")
     several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return rows.join(several, "key").select("node", "comp").distinct()
+    return rows.join(several, "key", "left_semi").select("node", "comp").distinct()
 
 
 def least_common(x, y, similarity: float):
